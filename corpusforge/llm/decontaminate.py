@@ -24,13 +24,23 @@ from corpusforge.runtime import small, table
 
 WINDOW, SLACK, NEAR_TERMS = 13, 2, 11
 #: Fixed value: ASCII other than letters and digits parts words. (A-Z is lower-cased after that.)
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _DOC = ["r1", "r2"]
 
 
+def _line(text: Column) -> Column:
+    """The words as they are written, with one blank between."""
+    return F.trim(F.regexp_replace(text, BETWEEN, " "))
+
+
 def words(text: Column) -> Column:
-    """Words as they are written."""
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    """Words as they are written; none of a null."""
+    return F.filter(F.split(_line(text), " "), lambda w: w != "")
+
+
+def n_words(text: Column) -> Column:
+    """How many; 0 of a null."""
+    return F.coalesce(F.transform(F.array(_line(text)), lambda x: F.when(x == "", 0).otherwise(F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1))[0], F.lit(0))
 
 
 def _folded(word: Column) -> Column:
@@ -76,7 +86,7 @@ def find_items(
     vocabulary = table(terms_of.select("word").distinct().select("word", F.monotonically_increasing_id().alias("term")), "vocabulary")
     terms_of = table(terms_of.join(vocabulary, "word").select("item", "n", "j", "term"), "item-terms")
 
-    tokens = rows.select(*_DOC, F.posexplode(words(F.col("text"))).alias("pos", "w")).select(*_DOC, "pos", _folded(F.col("w")).alias("word"))
+    tokens = rows.select(*_DOC, F.posexplode(F.split(_line(F.col("text")), " ")).alias("pos", "w")).select(*_DOC, "pos", _folded(F.col("w")).alias("word"))
     postings = table(tokens.join(small(vocabulary), "word").select(*_DOC, "pos", "term"), "postings")
     frequency = postings.groupBy("term").agg(F.count("*").alias("c"))
 
@@ -107,7 +117,7 @@ def find_items(
     runs = runs.select(*_DOC, "item", (F.col("at") + F.col("a")).alias("first"), (F.col("at") + F.col("b")).alias("last")).distinct()
     reach = F.count("*").over(line.rangeBetween(0, window - 1))
     near = matched.withColumn("found", reach).filter(F.col("found") >= F.least(F.lit(near_terms), F.col("n"))).select(*_DOC, "item").distinct()
-    documents = rows.select(*_DOC, "doc_id", F.coalesce(F.size(words(F.coalesce("text", F.lit("")))), F.lit(0)).cast("long").alias("n_words"))
+    documents = rows.select(*_DOC, "doc_id", n_words(F.col("text")).cast("long").alias("n_words"))
     return Matches(documents, runs, near, items)
 
 
