@@ -180,7 +180,7 @@ def line_dedup(
     )
     gone = table(gone.select(F.struct("r1", "r2").alias("__key"), "gone", "exact", "near"), "lines-gone")
     held = docs.drop("line_dedup").select(F.struct(*[F.col(c) for c in docs.drop("line_dedup").columns]).alias("__row"), F.struct(key1, key2).alias("__key"))
-    joined = held.join(small(gone), "__key", "left")
+    joined = held.join(gone, "__key", "left")
     text = F.col("__row")[text_col]
     lines = F.split(text, "\n")
     left = F.filter(lines, lambda x, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
