@@ -30,7 +30,7 @@ from corpusforge.llm.chunked import CHUNK, whole_and_windows
 MARGIN = 256
 #: No alternative of the pattern looks further than this beyond its match.
 _LOOKAHEAD = 8
-_CACHED_PIECES, _CACHED_CHARS = 400_000, 64
+_CACHED_PIECES, _CACHED_CHARS = 80_000, 64
 
 
 class ByteBPE:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 DIMENSIONS, NGRAM = 512, 3
 #: Most labelled rows that prototypes are learned from; picked by a hash, whatever the size of the table.
 TRAINING_ROWS = 40_000
-_CACHED_GRAMS, _PART = 30_000, 1 << 18
+_CACHED_GRAMS, _PART = 1 << 14, 1 << 18
 UNKNOWN = "und"
 
 
@@ -35,12 +35,10 @@ class Encoder:
 
     def __init__(self):
         self._rows: dict[int, int] = {}
-        self._grams = np.zeros((1024, DIMENSIONS), np.float32)
+        self._grams = np.zeros((_CACHED_GRAMS, DIMENSIONS), np.int8)
 
     def _row(self, gram: int) -> int:
         at = len(self._rows)
-        if at == len(self._grams):
-            self._grams = np.concatenate((self._grams, np.zeros_like(self._grams)))
         bound = np.ones(DIMENSIONS, np.int8)
         for place in range(NGRAM):
             bound = bound * np.roll(letter_vector(gram >> 21 * place & 0x1FFFFF), place)
@@ -51,13 +49,13 @@ class Encoder:
     def _bundle(self, codes: np.ndarray) -> np.ndarray:
         codes = codes.astype(np.int64)
         grams, counts = np.unique(codes[:-2] | codes[1:-1] << 21 | codes[2:] << 42, return_counts=True)
-        if len(self._rows) + len(grams) > _CACHED_GRAMS:
-            self._rows.clear()
-        rows = self._rows
+        rows, some = self._rows, _CACHED_GRAMS // 4
         total = np.zeros(DIMENSIONS, np.float32)
-        for i in range(0, len(grams), _CACHED_GRAMS):
-            at = [r if (r := rows.get(g)) is not None else self._row(g) for g in grams[i : i + _CACHED_GRAMS].tolist()]
-            total += counts[i : i + _CACHED_GRAMS].astype(np.float32) @ self._grams[at]
+        for i in range(0, len(grams), some):
+            if len(rows) + some > _CACHED_GRAMS:
+                rows.clear()
+            at = [r if (r := rows.get(g)) is not None else self._row(g) for g in grams[i : i + some].tolist()]
+            total += counts[i : i + some].astype(np.float32) @ self._grams[at].astype(np.float32)
         return total
 
     def vector(self, text: str | None) -> np.ndarray | None:
