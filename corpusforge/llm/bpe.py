@@ -12,7 +12,6 @@ that), the later window is matched again from the last boundary that is sure.
 from __future__ import annotations
 
 import base64
-import hashlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corpusforge.llm.chunked import CHUNK, whole_and_windows
 
@@ -117,6 +117,10 @@ class ByteBPE:
         return [whole[a:b] for a, b in zip([0, *sure], sure, strict=False)]
 
 
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
 @lru_cache(maxsize=4)
 def _loaded(ranks_path: str, pattern: str) -> ByteBPE:
     return ByteBPE(ranks_path, pattern)
@@ -125,23 +129,23 @@ def _loaded(ranks_path: str, pattern: str) -> ByteBPE:
 def encode_docs(
     docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, margin: int = MARGIN
 ) -> DataFrame:
-    """One row per input row: ``doc_id, ids array<int>, decoded binary``.
+    """One row per input row: ``doc_id, ids binary, decoded binary``.
 
-    The ids are those of the text's pre-tokens in order, without special tokens; ``decoded``
-    joins their bytes again. A null or empty text has no ids. Texts of any length are
+    The ids are those of the text's pre-tokens in order, without special tokens, packed as
+    little-endian unsigned 32-bit integers; ``decoded`` joins their bytes again. A null or empty text has no ids. Texts of any length are
     encoded whole. Repeated rows give repeated results; an empty table gives an empty one;
     other columns are not looked at. ``ranks_path`` has to exist on every executor.
     """
     short, windows = whole_and_windows(docs, id_col, text_col, chunk, margin)
     kind = short.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, ids array<int>, decoded binary"
+    schema = f"doc_id {kind}, ids binary, decoded binary"
 
     def encode_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(ranks_path, pattern)
         for b in batches:
             for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
                 ids = [bpe.encode(t) for t in part.column("text").to_pylist()]
-                arrays = [part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(map(bpe.decode, ids), pa.binary())]
+                arrays = [part.column("doc_id"), pa.array(map(packed, ids), pa.binary()), pa.array(map(bpe.decode, ids), pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ids", "decoded"])
 
     def find_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,30 +159,13 @@ def encode_docs(
         times, first = int((group["k"] == 0).sum()), group.drop_duplicates("k").sort_values("k")
         pieces = bpe.stitch(int(first["n"].iloc[0]), [(int(a), t, list(e)) for a, t, e in zip(first["at"], first["text"], first["ends"], strict=True)])
         ids = bpe.encode_pieces(pieces)
-        return pd.DataFrame({"doc_id": [group["doc_id"].iloc[0]] * times, "ids": [np.array(ids, np.int32)] * times, "decoded": [bpe.decode(ids)] * times})
+        return pd.DataFrame({"doc_id": [group["doc_id"].iloc[0]] * times, "ids": [packed(ids)] * times, "decoded": [bpe.decode(ids)] * times})
 
     ended = windows.mapInArrow(find_ends, f"doc_id {kind}, h long, n int, k int, at int, text string, ends array<int>")
     return short.mapInArrow(encode_short, schema).union(ended.groupBy("doc_id", "h").applyInPandas(encode_long, schema))
 
 
-def ids_sha256(ids: list[int] | np.ndarray) -> str:
-    """Digest of ids as little-endian unsigned 32-bit integers."""
-    return hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest()
-
-
 def digests(encoded: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of the rows of :func:`encode_docs`."""
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [x.values.to_numpy() for x in b.column("ids")]
-            arrays = [
-                b.column("doc_id"),
-                pa.array([len(x) for x in ids], pa.int64()),
-                pa.array(map(ids_sha256, ids), pa.string()),
-                pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in b.column("decoded")], pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encoded.mapInArrow(digest, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    n = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return encoded.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
