@@ -29,10 +29,26 @@ from pyspark.sql import functions as F
 from corpusforge.llm.chunked import CHUNK, whole_and_windows
 
 BLANK = "▁"
-_CACHED_UNITS, _CACHED_CHARS, _STATES, _PAIRS = 400_000, 48, 100_000, 400_000
+_CACHED_UNITS, _CACHED_CHARS, _STATES, _BENEATH, _END = 400_000, 48, 100_000, 32, float("-inf")
 _PROBE = "  a  b\t c ﬁ Å \n\r\n 中 "
 
 
+class _Counts(dict[str, int]):
+    """Counts of units; those that aren't there are counted and, unless long, kept for a while."""
+
+    def __init__(self, machine: Transducer):
+        super().__init__()
+        self.machine = machine
+
+    def __missing__(self, unit: str) -> int:
+        n = self.machine.count_unit(unit)
+        if len(unit) <= _CACHED_CHARS:
+            if len(self) >= _CACHED_UNITS:
+                self.clear()
+            self[unit] = n
+        return n
+
+
 class Transducer:
     """Counts the tokens of texts as the model's library does, without special tokens."""
 
@@ -51,7 +67,18 @@ class Transducer:
             self._add(model.id_to_piece(i), model.get_score(i))
         resets = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.score)
         self.units = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+" if resets else "(?s).+")
-        self._counts: dict[str, int] = {}
+        self.beneath: list[list[str] | None] = [[] for _ in self.trie]
+        for piece in self.score:
+            node = 0
+            for c in piece:
+                if self.beneath[node] is not None:
+                    self.beneath[node].append(piece)
+                    if len(self.beneath[node]) > _BENEATH:
+                        self.beneath[node] = None
+                node = self.trie[node][c]
+        self.joined = {pair for p in self.score for pair in zip(p, p[1:], strict=False)}
+        self._counts = _Counts(self)
+        self._derived: dict[str, list[tuple[float, str, str]] | None] = {}
         self._forget()
 
     def _add(self, piece: str, score: float) -> None:
@@ -68,7 +95,8 @@ class Transducer:
         self._states: list[tuple] = [((0, "", 0),)]
         self._numbers = {self._states[0]: 0}
         self._moves: list[dict[str, tuple[int, int]]] = [{}]
-        self._beside: dict[tuple[str, str], bool] = {}
+        self._as: dict[tuple[int, str], str | None] = {}
+        self._first: dict[tuple[int, tuple[str, ...]], str] = {}
 
     @staticmethod
     def normalise(text: str) -> str:
@@ -78,27 +106,59 @@ class Transducer:
         """Tokens of a piece: bytes if it's a character that the model lacks."""
         return 1 if piece in self.score else len(piece.encode())
 
-    def merge(self, text: str) -> list[str]:
-        """Pieces of a short text: the adjacent pair of the best score is joined, leftmost first."""
-        parts = list(text)
+    def derived(self, piece: str) -> list[tuple[float, str, str]] | None:
+        """The merges that form a piece: score, and first and last part before it; at the end the piece.
+
+        Of adjacent pairs the best score is joined, leftmost first. None if that doesn't end in the piece.
+        """
+        if piece in self._derived:
+            return self._derived[piece]
+        parts, steps = list(piece), []
         while len(parts) > 1:
             best = max(((self.score[p], -i) for i in range(len(parts) - 1) if (p := parts[i] + parts[i + 1]) in self.score), default=None)
             if best is None:
                 break
+            steps.append((best[0], parts[0], parts[-1]))
             i = -best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+        got = [*steps, (_END, piece, piece)] if len(parts) == 1 else None
+        if piece in self.score:
+            self._derived[piece] = got
+        return got
 
     def beside(self, left: str, right: str) -> bool:
-        """Whether the two pieces can stand side by side."""
-        if not left:
-            return True
-        got = self._beside.get((left, right))
-        if got is None:
-            if len(self._beside) >= _PAIRS:
-                self._beside.clear()
-            got = self._beside[left, right] = self.merge(left + right) == [left, right]
-        return got
+        """Whether the two pieces can stand side by side.
+
+        Each forms as it does alone until a merge over the place where they meet comes first.
+        """
+        right_merges = self.derived(right)
+        if not left or right_merges is None:
+            return right_merges is not None
+        left_merges, score, i, j = self.derived(left), self.score, 0, 0
+        if left_merges is None:
+            return False
+        while True:
+            in_left, _, last = left_merges[i]
+            in_right, first, _ = right_merges[j]
+            over = score.get(last + first)
+            if over is not None and over > in_left and over >= in_right:
+                return False
+            if in_left >= in_right:
+                if in_left == _END:
+                    return True
+                i += 1
+            else:
+                j += 1
+
+    def standing_for(self, node: int, before: str) -> str | None:
+        """A piece that the same pieces beneath the node can follow; None if none can. Fewer states come of it."""
+        key, below = (node, before), self.beneath[node]
+        if below is None:
+            return before
+        if key not in self._as:
+            fit = tuple(p for p in below if self.beside(before, p))
+            self._as[key] = self._first.setdefault((node, fit), before) if fit else None
+        return self._as[key]
 
     def step(self, state: int, c: str) -> tuple[int, int]:
         """State after a character and change of the count."""
@@ -110,7 +170,7 @@ class Transducer:
                 piece = c  # not a piece of the model
             if piece is not None and last is None and self.beside(before, piece):
                 last, change = piece, count + self.weight(piece)
-            if to is not None and self.trie[to]:
+            if to is not None and self.trie[to] and (before := self.standing_for(to, before)) is not None:
                 went.append((to, before, count))
         key = (*((to, before, count - change) for to, before, count in went), (0, last, 0))
         number = self._numbers.get(key)
@@ -131,18 +191,17 @@ class Transducer:
             total += change
         return total
 
+    def count_unit(self, unit: str) -> int:
+        """A unit is read from the first state again wherever no piece has the two characters that meet."""
+        joined = self.joined
+        cuts = [i for i, pair in enumerate(zip(unit, unit[1:], strict=False), 1) if pair not in joined]
+        if not cuts:
+            return self.run(unit)
+        parts = [unit[i:j] for i, j in zip([0, *cuts], [*cuts, len(unit)], strict=True)]
+        return sum(map(self._counts.__getitem__, parts))
+
     def count_units(self, units: list[str]) -> int:
-        known, total = self._counts, 0
-        for unit in units:
-            n = known.get(unit)
-            if n is None:
-                n = self.run(unit)
-                if len(unit) <= _CACHED_CHARS:
-                    if len(known) >= _CACHED_UNITS:
-                        known.clear()
-                    known[unit] = n
-            total += n
-        return total
+        return sum(map(self._counts.__getitem__, units))
 
     def count(self, text: str) -> int:
         return self.count_units(self.units.findall(self.normalise(text)))
