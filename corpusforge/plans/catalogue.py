@@ -12,6 +12,7 @@ from corpusforge.functions import text as T
 from corpusforge.operators import dedup as D
 from corpusforge.operators import quality, sampling, score, sequence, shape
 from corpusforge.runtime import table
+from corpusforge.sources import policies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -620,3 +621,66 @@ def json_answers(spark, sf):
 @query("SELECT o_custkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS score FROM orders GROUP BY o_custkey")
 def phase_merge(spark, sf):
     return _read(spark, sf, "orders").groupBy("o_custkey").agg(F.max_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")).alias("score"))
+
+
+# Sources and their policies
+
+_COT = f"""cot AS (SELECT doc_id AS ord, text AS question, text AS answer, source, len({_sql_words('text')}) AS n, lang FROM documents),
+judged AS (SELECT *, CASE WHEN coalesce(question, '') = '' THEN 'missing' WHEN lang IS NULL OR lang = 'de' THEN 'no_answer' WHEN n = 0 THEN 'empty' WHEN n < 50 THEN 'too_short' WHEN n > 3000 THEN 'too_long' END AS reason FROM cot)"""
+
+
+def _cot(spark, sf) -> DataFrame:
+    """Whole texts as problems with their solutions; those in one language count as not answered."""
+    kind = F.when(F.col("lang") != "de", "has_answer_extracted")
+    return _docs(spark, sf).select(
+        F.col("doc_id").alias("ord"), F.col("text").alias("problem"), F.col("text").alias("generated_solution"),
+        kind.alias("problem_type"), F.col("source").alias("problem_source"),
+    )
+
+
+@query(f"WITH {_COT} SELECT ord, reason, coalesce(source, 'unknown') AS problem_source, coalesce(reason, 'kept') = 'kept' AS kept FROM judged")
+def policy_math_cot(spark, sf):
+    rows = policies.judged(_cot(spark, sf), "math_cot", "ord")
+    return rows.select("ord", "reason", F.col("metadata")["problem_source"].alias("problem_source"), F.col("reason").isNull().alias("kept"))
+
+
+@query(
+    f"""WITH p AS (SELECT p_partkey AS ord, 'Which? ' || p_name || chr(10) || chr(10) || 'A) ' || p_brand || chr(10) || 'B) ' || p_type AS question, p_size % 3 AS a, repeat(p_name || ' ', p_size) AS lecture, p_brand, p_type FROM part),
+q AS (SELECT ord, question, a, 'The correct answer is: ' || CASE a WHEN 0 THEN p_brand ELSE p_type END || chr(10) || chr(10) || lecture || chr(10) || chr(10) || 'Explanation: ' || p_type AS answer FROM p),
+r AS (SELECT ord, CASE WHEN a > 1 THEN 'no_such_choice' WHEN len({_sql_words('answer')}) < 30 THEN 'too_short' END AS reason, question, answer FROM q)
+SELECT ord, reason, md5(question) AS question_md5, CASE WHEN reason IS NULL THEN md5(answer) END AS answer_md5 FROM r"""
+)
+def policy_mcq_image(spark, sf):
+    df = _read(spark, sf, "part").select(
+        F.col("p_partkey").alias("ord"), F.lit(None).cast("binary").alias("image"), F.concat(F.lit("Which? "), "p_name").alias("question"),
+        F.array("p_brand", "p_type").alias("choices"), (F.col("p_size") % 3).cast("int").alias("answer"),
+        F.repeat(F.concat("p_name", F.lit(" ")), F.col("p_size").cast("int")).alias("lecture"), F.col("p_type").alias("solution"),
+    )
+    rows = policies.judged(df, "mcq_image", "ord")
+    return rows.select("ord", "reason", F.md5("question").alias("question_md5"), F.when(F.col("reason").isNull(), F.md5("answer")).alias("answer_md5"))
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id AS ord, text, len({_sql_words('text')}) AS n, ['Maths', 'physics ', 'Science', NULL][(doc_id % 4 + 1)::INT] AS s, (doc_id % 13)::INT AS g FROM documents),
+e AS (SELECT *, CASE coalesce(s, 'general') WHEN 'Maths' THEN 'mathematics' WHEN 'physics ' THEN 'physics' WHEN 'Science' THEN 'science' ELSE 'general' END AS subject FROM d)
+SELECT ord, subject, CASE WHEN coalesce(text, '') = '' THEN 'missing' WHEN n < 10 THEN 'too_short'
+  WHEN NOT ((subject = 'science' AND g BETWEEN 6 AND 10) OR (subject = 'mathematics' AND g BETWEEN 6 AND 12) OR (subject = 'physics' AND g IN (11, 12))) THEN 'out_of_grade' END AS reason FROM e"""
+)
+def policy_school(spark, sf):
+    subject = F.get(F.array(F.lit("Maths"), F.lit("physics "), F.lit("Science"), F.lit(None)), (F.col("doc_id") % 4).cast("int"))
+    df = _docs(spark, sf).select(F.col("doc_id").alias("ord"), F.col("text").alias("Question"), F.col("text").alias("response"), subject.alias("topic"), (F.col("doc_id") % 13).alias("Class"))
+    return policies.judged(df, "school", "ord").select("ord", F.col("metadata")["subject"].alias("subject"), "reason")
+
+
+@query(
+    f"""WITH {_COT}, u AS (SELECT 0 AS prio, ord, question FROM judged WHERE reason IS NULL
+  UNION ALL SELECT 8, conv_id * 1000 + turn, text FROM conversations WHERE coalesce(text, '') <> '')
+SELECT prio, ord, md5(question) AS question_md5 FROM u QUALIFY row_number() OVER (PARTITION BY sha256({_sql_hash_normal('question')}) ORDER BY prio, ord) = 1"""
+)
+def policy_corpus(spark, sf):
+    """Documents and single turns, by their policies, without questions that came before."""
+    turns = F.lit(None).cast("array<struct<`from` string, value string>>").alias("conversations")
+    order = (F.col("conv_id") * 1000 + F.col("turn")).alias("ord")
+    said = _read(spark, sf, "conversations").select(order, turns, F.col("text").alias("instruction"), F.col("text").alias("output"))
+    found = policies.corpus({"math_cot": _cot(spark, sf), "synthetic": said})
+    return found.select("prio", "ord", F.md5("question").alias("question_md5"))
