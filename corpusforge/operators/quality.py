@@ -63,3 +63,10 @@ def turn_issues(turns: DataFrame, conv: str, order: str, role: str) -> DataFrame
     first = marked.withColumn("issue", issue).groupBy(conv).agg(F.min_by("issue", F.when(F.col("issue").isNotNull(), F.col("k"))).alias("issue"), F.lit(True).alias("spoken"))
     every = rows.select(conv).distinct()
     return every.join(first, conv, "left").select(conv, F.when(F.col("spoken").isNull(), "empty").otherwise(F.coalesce("issue", F.lit("valid"))).alias("issue"))
+
+
+def issue_breakdown(issues: DataFrame) -> DataFrame:
+    """``(issue, n, pct, ok)`` of the issues of conversations; no rows without any."""
+    counted = issues.groupBy("issue").agg(F.count("*").alias("n"))
+    share = F.round(F.col("n") * 100.0 / F.sum("n").over(W.partitionBy(F.lit(1))), 2)
+    return counted.select("issue", "n", share.alias("pct"), (F.col("issue") == "valid").alias("ok"))

@@ -40,13 +40,19 @@ def open_score(response: Column, gold: Column) -> Column:
 
 
 def absolute(response: Column, gold: Column, tolerance: float = 1e-4) -> Column:
-    return F.coalesce(F.abs(plain_number(response) - plain_number(gold)) <= tolerance, F.lit(False)).cast("int")
+    return F.coalesce(F.abs(plain_number(response) - plain_number(gold)) < tolerance, F.lit(False)).cast("int")
 
 
 def exact_match(response: Column, gold: Column) -> Column:
     return (F.upper(trim(text(response))) == F.upper(trim(text(gold)))).cast("int")
 
 
+def likeliest(scores: Column, choices: Column | None = None) -> Column:
+    """Place of the largest log-likelihood, or of the largest by byte of its choice; of equal ones the first. Null for no scores."""
+    by = scores if choices is None else F.zip_with(scores, choices, lambda s, c: s / F.greatest(F.octet_length(text(c)), F.lit(1)))
+    return F.nullif(F.array_position(by, F.array_max(by)) - 1, F.lit(-1)).cast("int")
+
+
 def accuracy(scored: DataFrame, score: str, *by: str) -> DataFrame:
     """Accuracy and its standard error over all and by each column, in one grouping-sets pass.
 

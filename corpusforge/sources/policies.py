@@ -152,3 +152,24 @@ def corpus(sources: dict[str, DataFrame], order: str = "ord") -> DataFrame:
         kept = rows if kept is None else kept.unionByName(rows)
     first = F.min_by(F.struct(*kept.columns), F.struct("prio", "ord", F.xxhash64("question", "answer"))).alias("row")
     return kept.groupBy(F.sha2(hash_normal(F.col("question")), 256)).agg(first).select("row.*")
+
+
+def reused(rows: DataFrame) -> DataFrame:
+    """Rows that an earlier run kept, with ``question`` (the first human turn with a text) and ``reason``.
+
+    Fewer than two turns are ``malformed``, turns without a human text ``no_question``; all others are taken as they are.
+    """
+    turns = F.col("conversations")
+    question = F.get(F.filter(turns, lambda t: (t["from"] == "human") & (text(t["value"]) != "")), F.lit(0))["value"]
+    reason = F.when(turns.isNull() | (F.size(turns) < 2), "malformed").when(question.isNull(), "no_question")
+    return rows.withColumn("question", question).withColumn("reason", reason)
+
+
+def with_reused(rows: DataFrame, anchored: str = "anchored") -> DataFrame:
+    """Of (prio, ord, question, anchored): all anchored rows, and the others that are the first of their question.
+
+    An anchored row isn't tested itself, but later rows with its question go. Repeated places of equal questions leave one row.
+    """
+    first = F.min_by(F.struct(*rows.columns), F.struct("prio", "ord")).alias("row")
+    tested = rows.groupBy(F.sha2(hash_normal(F.col("question")), 256)).agg(first).select("row.*").filter(~F.col(anchored))
+    return rows.filter(anchored).unionByName(tested)

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from corpusforge.plans import evaluation  # noqa: F401  registers its queries
 from corpusforge.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
