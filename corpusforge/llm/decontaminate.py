@@ -26,6 +26,13 @@ WINDOW, SLACK, NEAR_TERMS = 13, 2, 11
 #: Fixed value: ASCII other than letters and digits parts words. (A-Z is lower-cased after that.)
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _DOC = ["r1", "r2"]
+#: Files of a table that grows with the benchmark and not with the corpus.
+ITEM_FILES = 8
+
+
+def _item_table(df: DataFrame, label: str) -> DataFrame:
+    """A table of the benchmark's, in few files: at one for each shuffle partition, making them costs more than their rows."""
+    return table(df.coalesce(ITEM_FILES), label)
 
 
 def _line(text: Column) -> Column:
@@ -80,11 +87,11 @@ def find_items(
     rows = docs.select(*row_key(F.col(id_col), F.col(text_col)), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     known = benchmark.select(F.col(item_col).alias("item_id"), words(ascii_lower(F.col(item_text_col))).alias("ws")).filter(F.size("ws") > 0)
     known = known.withColumn("item", F.xxhash64("ws"))
-    items = table(known.select("item", "item_id").distinct(), "items")
+    items = _item_table(known.select("item", "item_id").distinct(), "items")
     terms_of = known.groupBy("item").agg(F.any_value("ws").alias("ws")).select("item", F.size("ws").alias("n"), F.posexplode("ws").alias("j", "word"))
-    terms_of = table(terms_of, "item-words")
-    vocabulary = table(terms_of.select("word").distinct().select("word", F.monotonically_increasing_id().alias("term")), "vocabulary")
-    terms_of = table(terms_of.join(vocabulary, "word").select("item", "n", "j", "term"), "item-terms")
+    terms_of = _item_table(terms_of, "item-words")
+    vocabulary = _item_table(terms_of.select("word").distinct().select("word", F.monotonically_increasing_id().alias("term")), "vocabulary")
+    terms_of = _item_table(terms_of.join(vocabulary, "word").select("item", "n", "j", "term"), "item-terms")
 
     tokens = rows.select(*_DOC, F.posexplode(F.split(_line(F.col("text")), " ")).alias("pos", "w")).select(*_DOC, "pos", _folded(F.col("w")).alias("word"))
     postings = table(tokens.join(small(vocabulary), "word").select(*_DOC, "pos", "term"), "postings")
@@ -96,7 +103,7 @@ def find_items(
     ranked = ranked.withColumn("rare", F.slice(F.array_sort(F.collect_list(F.struct("c", "j", "term")).over(ahead)), 1, 2)).filter(F.col("j") <= F.greatest(F.col("n") - window, F.lit(0)))
     one, two = F.col("rare")[0], F.coalesce(F.get("rare", F.lit(1)), F.col("rare")[0])
     anchors = ranked.filter(one["c"] > 0).select("item", one["term"].alias("term"), one["j"].alias("j"), two["term"].alias("term2"), (two["j"] - one["j"]).alias("gap")).distinct()
-    anchors = table(anchors, "anchors")
+    anchors = _item_table(anchors, "anchors")
 
     rare = table(postings.join(small(anchors.select("term").union(anchors.select("term2")).distinct()), "term"), "rare-postings")
     first = rare.join(small(anchors), "term").select(*_DOC, "item", (F.col("pos") - F.col("j")).alias("at"), (F.col("pos") + F.col("gap")).alias("expected"), F.col("term2").alias("term"))
