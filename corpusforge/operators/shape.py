@@ -32,6 +32,11 @@ def from_messages(messages: Column) -> Column:
     return F.transform(kept, lambda m: F.struct(F.when(canonical_role(m["role"]) == "user", "human").otherwise("gpt").alias("from"), m["content"].alias("value")))
 
 
+def joined_parts(parts: Column) -> Column:
+    """One text of a message's (type, text) parts, in order; parts without a text, such as images, go. Null for null parts."""
+    return F.array_join(F.transform(parts, lambda p: text(p["text"])), "")
+
+
 def first_turn(turns: Column, who: str, non_empty: bool = False) -> Column:
     """Value of the first turn of human or gpt; empty if there is none."""
     role = "user" if who == "human" else "assistant"

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusforge.functions.arithmetic import equation_value, right_side
-from corpusforge.operators import neardup, score, solutions, tasks
+from corpusforge.operators import neardup, score, shape, solutions, tasks
 from corpusforge.operators.embed import embed, with_retries
 from corpusforge.plans.evaluation import word_embedder
 from corpusforge.sources import policies, runs
@@ -70,6 +70,12 @@ def test_tasks(spark, tmp_path):
     assert (nulls.target, nulls.metadata.exam, nulls.metadata.subject, nulls.metadata.question_type, nulls.metadata.has_diagram) == ("", "x", "unknown", "single_correct", False)
 
 
+def test_joined_parts(spark):
+    rows = [(1, [("text", "a "), ("image", None), ("text", "b")]), (2, []), (3, None)]
+    got = spark.createDataFrame(rows, "i INT, p ARRAY<STRUCT<type STRING, text STRING>>").select("i", shape.joined_parts(F.col("p")).alias("t"))
+    assert {r.i: r.t for r in got.collect()} == {1: "a b", 2: "", 3: None}
+
+
 def test_selected_names():
     assert tasks.select(["D1", "D2", "D3"], skip=["d2"]) == ["D1", "D3"]
     assert tasks.select(["D1", "D2"], only=["d2"]) == ["D2"]
