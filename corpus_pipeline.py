@@ -16,6 +16,9 @@ from corpusforge.llm import bpe, decontaminate, language_id, line_dedup, simhash
 from corpusforge.llm.queries import BPE_RANKS
 from corpusforge.runtime import shared_dir, table
 
+#: Characters from which on the lines of this pipeline have near copies.
+LINE_CHARS = 20
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language: those whose text is null or without a letter go."""
@@ -24,8 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that came before. ``n_chars`` follows the text."""
-    kept = line_dedup.line_dedup(docs).drop("line_dedup")
+    """All documents, without lines that came before, one edit or one replaced word away at most. ``n_chars`` follows the text."""
+    kept = line_dedup.line_dedup(docs, min_chars=LINE_CHARS, min_words=line_dedup.MIN_WORDS).drop("line_dedup")
     return kept.withColumn("n_chars", F.char_length("text").cast("long"))
 
 

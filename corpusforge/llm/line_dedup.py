@@ -6,6 +6,10 @@ each distinct line are indexed by (line length, segment number, segment) and lon
 equal lines probe the index with the few substrings that can matter. Lines that meet are
 verified with a banded bit-parallel edit distance.
 
+Lines that differ in one replaced word (of any length) can count as near copies too: as the
+number of words is the same, they agree on the first or the second half of their words, so
+two more keys of each line find all of them.
+
 A posting list of more than ``tile`` lines is not joined row by row. Its lines are dealt
 out as pairs of tiles, and each pair of tiles is verified inside one bounded group, of
 which only the later lines of close pairs come out. So nothing grows with the square of
@@ -24,6 +28,8 @@ from corpusforge.runtime import small, table
 
 #: Edits that make a near copy, and characters from which on lines are compared by edits (others only match exactly).
 EDITS, MIN_CHARS = 1, 40
+#: Words from which on a line with one of them replaced is a near copy, if that is asked for.
+MIN_WORDS = 8
 TILE = 64
 _DOC = ["r1", "r2"]
 
@@ -111,15 +117,30 @@ def index_and_probe_keys(line: Column, length: Column, edits: int) -> tuple[list
     return index, probes
 
 
+def word_keys(line: Column) -> list[Column]:
+    """Hashes of the halves of a line's words, with their number: of two lines that differ in one word, one is equal."""
+    words = F.split(line, " ")
+    half = F.floor(F.size(words) / 2).cast("int")
+    return [F.xxhash64(F.lit(f"words {i}"), F.size(words), F.slice(words, a, n)) for i, (a, n) in enumerate(((F.lit(1), half), (half + 1, F.size(words) - half)))]
+
+
+def one_word_replaced(left: Column, right: Column) -> Column:
+    """Do two arrays of words differ in one place at most?"""
+    return (F.size(left) == F.size(right)) & (F.size(F.filter(F.zip_with(left, right, lambda x, y: x != y), lambda x: x)) <= 1)
+
+
 def _lines(rows: DataFrame) -> DataFrame:
     return rows.select(*_DOC, "doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line")).filter(F.trim("line") != "").withColumn("id", F.unhex(F.md5("line")))
 
 
-def repeated_lines(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, tile: int = TILE) -> DataFrame:
+def repeated_lines(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, tile: int = TILE, min_words: int | None = None) -> DataFrame:
     """``r1, r2, ln, near`` of the lines to drop from ``rows`` (r1, r2, doc_id, text)."""
     lines = _lines(rows).withColumn("n", F.char_length("line"))
     long = F.col("n") >= max(min_chars, edits + 1)
     index, probes = index_and_probe_keys(F.col("line"), F.col("n"), edits)
+    if min_words is not None:
+        wordy = F.size(F.split("line", " ")) >= min_words
+        index += [F.when(wordy, k) for k in word_keys(F.col("line"))]
     names = [f"i{x}" for x in range(len(index))], [f"p{x}" for x in range(len(probes))]
     keyed = lines.select("id", F.struct("doc_id", *_DOC, "ln").alias("place"), *(F.when(long, c).alias(k) for k, c in zip(sum(names, []), index + probes, strict=True)))
     distinct = keyed.groupBy("id").agg(F.min("place").alias("place"), F.count("*").alias("times"), *(F.min(k).alias(k) for k in sum(names, [])))
@@ -143,11 +164,19 @@ def repeated_lines(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     texts = lines.select("id", *_DOC, "doc_id", "ln", "line").join(small(wanted), "id").groupBy("id").agg(F.min(F.struct("doc_id", *_DOC, "ln", "line")).alias("x"))
     texts = table(texts.select("id", F.struct("x.doc_id", "x.r1", "x.r2", "x.ln").alias("place"), "x.line"), "lines-verified")
 
+    def near(a: Column, b: Column) -> Column:
+        by_edits = F.levenshtein(a["line"], b["line"], edits) >= 0
+        return by_edits if min_words is None else by_edits | ((F.size(a["ws"]) >= min_words) & one_word_replaced(a["ws"], b["ws"]))
+
     side = lambda s: texts.select(F.col("id").alias(s), F.col("place").alias(f"place_{s}"), F.col("line").alias(f"line_{s}"))
-    close = pairs.join(side("a"), "a").join(side("b"), "b").filter(edit_distance(F.col("line_a"), F.col("line_b"), edits) <= edits)
+    alike = edit_distance(F.col("line_a"), F.col("line_b"), edits) <= edits
+    if min_words is not None:
+        ws_a, ws_b = F.split("line_a", " "), F.split("line_b", " ")
+        alike = ((F.size(ws_a) >= min_words) & one_word_replaced(ws_a, ws_b)) | alike
+    close = pairs.join(side("a"), "a").join(side("b"), "b").filter(alike)
     later = close.select(F.when(F.col("place_a") > F.col("place_b"), F.col("a")).otherwise(F.col("b")).alias("id"))
-    tiles = dealt.join(texts, "id").groupBy("k", "i", "j").agg(F.collect_list(F.struct("place", "id", "line")).alias("g"))
-    later_in = F.filter("g", lambda x: F.exists("g", lambda y: (y["place"] < x["place"]) & (F.levenshtein(x["line"], y["line"], edits) >= 0)))
+    tiles = dealt.join(texts, "id").groupBy("k", "i", "j").agg(F.collect_list(F.struct("place", "id", "line", *([] if min_words is None else [F.split("line", " ").alias("ws")]))).alias("g"))
+    later_in = F.filter("g", lambda x: F.exists("g", lambda y: (y["place"] < x["place"]) & near(x, y)))
     later = later.union(tiles.select(F.explode(F.transform(later_in, lambda x: x["id"])).alias("id"))).distinct().withColumn("near", F.lit(True))
 
     concerned = distinct.select("id", "place", "times").join(later, "id", "left").filter("times > 1 or near")
@@ -158,14 +187,16 @@ def repeated_lines(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
 
 
 def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, tile: int = TILE
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, tile: int = TILE, min_words: int | None = None
 ) -> DataFrame:
     """The rows and columns of ``docs`` with repeated lines taken out of the text, and a struct column ``line_dedup``.
 
     Lines are parted by ``\\n`` and ordered by id (nulls first), then by where they stand. A
     line goes if an equal one comes before it, or if it has at least ``min_chars`` characters
     and a line within ``edits`` edits, with as many, comes before it; so the first of any
-    copies stays. Blank lines always stay. The struct has ``n_lines``, ``n_exact`` and
+    copies stays. With ``min_words``, a line of at least ``min_chars`` characters and so many
+    words (parted by single blanks) also goes if one that differs from it in one replaced
+    word comes before it. Blank lines always stay. The struct has ``n_lines``, ``n_exact`` and
     ``n_near``: lines before, and those that went as an exact copy or only as a near one.
 
     No row goes: a text all of whose lines went is empty. A null text stays null and has no
@@ -175,7 +206,7 @@ def line_dedup(
     """
     key1, key2 = row_key(F.col(id_col), F.col(text_col))
     rows = docs.select(key1, key2, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    gone = repeated_lines(rows, edits, min_chars, tile).distinct().groupBy("r1", "r2").agg(
+    gone = repeated_lines(rows, edits, min_chars, tile, min_words).distinct().groupBy("r1", "r2").agg(
         F.collect_set("ln").alias("gone"), F.count_if(~F.col("near")).alias("exact"), F.count_if(F.col("near")).alias("near")
     )
     gone = table(gone.select(F.struct("r1", "r2").alias("__key"), "gone", "exact", "near"), "lines-gone")

@@ -13,6 +13,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corpusforge.llm import bpe, decontaminate, exact_dedup, language_id, licenses, line_dedup, secrets, simhash, token_counts, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, r1 string, key string, fp string, Text2 string"
@@ -199,6 +200,32 @@ def test_lines(spark, k, tile):
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tile", [64, 2])
+def test_lines_with_a_word_replaced(spark, tile):
+    r = random.Random(tile)
+    seeds = [[r.choice(("alpha", "beta", "gamma", "delta")) for _ in range(r.randint(3, 9))] for _ in range(10)]
+    texts = []
+    for _ in range(80):
+        ws = list(r.choice(seeds))
+        for _ in range(r.choice((0, 1, 1, 2))):
+            ws[r.randrange(len(ws))] = r.choice(("omega", "2021-03-04", "seventeen"))
+        texts.append(" ".join(ws))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(line_dedup.line_dedup(docs, min_chars=20, tile=tile, min_words=4))
+    for i, t in enumerate(texts):
+        seen, words = [x for x in texts[:i] if len(x) >= 20], t.split(" ")
+        replaced = [x for x in seen if len(words) >= 4 and len(x.split(" ")) == len(words) and sum(a != b for a, b in zip(words, x.split(" "), strict=True)) <= 1]
+        gone = t in texts[:i] or len(t) >= 20 and (bool(replaced) or any(edits(x, t) <= 1 for x in seen))
+        assert got[i]["text"] == ("" if gone else t), t
+
+
+def test_pipeline_drops_a_line_with_one_word_replaced(spark):
+    line = "The committee met on {} in the large hall of the old town and adjourned after two hours"
+    docs = spark.createDataFrame([(1, line.format("2021-03-04")), (2, line.format("2022-11-28")), (3, line.format("Monday").replace("two", "seven"))], "doc_id long, text string")
+    kept = by_id(corpus_pipeline.lines(spark, docs, ""))
+    assert [bool(kept[i]["text"]) for i in (1, 2, 3)] == [True, False, True]
+
+
 @pytest.fixture(scope="module")
 def library():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
