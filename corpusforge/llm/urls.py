@@ -3,7 +3,7 @@
 A path is first written as a shape: runs of digits and long hexadecimal strings become
 ``#``. On the table of shapes by host (with their counts of pages, of labelled and of bad
 ones) the tree is worked on level by level, as joins and aggregates: where a node has many
-children, its rare ones become ``*``; from the deepest level up, branches that differ in
+children, its rare ones become ``*`` unless their labels tell them from the others; from the deepest level up, branches that differ in
 one segment only are merged to ``~`` unless their share of bad pages differs from that of
 the others by a two-proportion test. A template whose smoothed share of bad pages is too
 large is rejected. Pages look their template up by host and shape.
@@ -23,13 +23,15 @@ from corpusforge.runtime import small, table
 @dataclass(frozen=True)
 class Settings:
     """``depth``: segments looked at, the rest being one. A child of a node with more than ``children`` of
-    them is generalised if it has less than ``share`` of its pages. Branches are merged below ``chi2``
+    them is generalised if it has less than ``share`` of its pages, unless it has ``apart`` labels or more
+    and the test (with a correction for continuity, as there are many children) tells it from the others. Branches are merged below ``chi2``
     (95 % for one degree of freedom). ``strength``: labelled pages that the overall share counts as.
     A template is rejected from a smoothed share of ``reject``."""
 
     depth: int = 4
     children: int = 20
     share: float = 0.05
+    apart: int = 5
     chi2: float = 3.84
     strength: float = 10.0
     reject: float = 0.5
@@ -71,6 +73,16 @@ def _segments(shape: Column, depth: int) -> Column:
     return F.when(F.size(parts) - 1 > depth, F.concat(F.slice(parts, 1, depth + 1), F.array(F.lit("**")))).otherwise(parts)
 
 
+def _proportions(continuous: bool = False) -> tuple[Column, Column]:
+    """Is there nothing to test, and chi2 of ``bad`` of ``lab`` against the rest of ``all_bad`` of ``all``; null if there's nothing."""
+    rest, rest_bad = F.col("all") - F.col("lab"), F.col("all_bad") - F.col("bad")
+    alike = (F.col("lab") == 0) | (rest == 0) | (F.col("all_bad") == 0) | (F.col("all_bad") == F.col("all"))
+    pooled, per = F.col("all_bad") / F.col("all"), 1 / F.col("lab") + 1 / rest
+    gap = F.abs(F.col("bad") / F.col("lab") - rest_bad / rest)
+    gap = F.greatest(gap - per / 2, F.lit(0.0)) if continuous else gap
+    return alike, F.when(~alike, gap * gap / (pooled * (1 - pooled) * per))
+
+
 def learn_templates(pages: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``host, shape, template, n_labelled, bad_share`` (smoothed) of every host and shape.
 
@@ -83,10 +95,12 @@ def learn_templates(pages: DataFrame, labels: DataFrame, settings: Settings = Se
     overall = (total[1] or 0) / (total[0] or 1)
 
     for level in range(1, s.depth + 1):
-        at = tree.filter(F.size("t") > level).select("host", F.slice("t", 1, level).alias("above"), F.col("t")[level].alias("child"), "n")
-        child = at.groupBy("host", "above", "child").agg(F.sum("n").alias("c"))
-        node = child.groupBy("host", "above").agg(F.count("*").alias("k"), F.sum("c").alias("all")).filter(F.col("k") > s.children)
-        rare = child.join(node, ["host", "above"]).filter(F.col("c") < s.share * F.col("all")).select("host", "above", "child", F.lit(True).alias("rare"))
+        at = tree.filter(F.size("t") > level).select("host", F.slice("t", 1, level).alias("above"), F.col("t")[level].alias("child"), "n", "lab", "bad")
+        child = at.groupBy("host", "above", "child").agg(F.sum("n").alias("c"), F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
+        node = child.groupBy("host", "above").agg(F.count("*").alias("k"), F.sum("c").alias("pages"), F.sum("lab").alias("all"), F.sum("bad").alias("all_bad")).filter(F.col("k") > s.children)
+        alike, chi2 = _proportions(continuous=True)
+        apart = (F.col("lab") >= s.apart) & ~alike & (chi2 >= s.chi2)
+        rare = child.join(node, ["host", "above"]).filter((F.col("c") < s.share * F.col("pages")) & ~F.coalesce(apart, F.lit(False))).select("host", "above", "child", F.lit(True).alias("rare"))
         placed = tree.withColumn("above", F.slice("t", 1, level)).withColumn("child", F.get("t", F.lit(level)))
         new = F.when(F.col("rare"), F.transform("t", lambda x, i: F.when(i == level, F.lit("*")).otherwise(x))).otherwise(F.col("t"))
         tree = table(placed.join(rare, ["host", "above", "child"], "left").select("host", "shape", "n", "lab", "bad", new.alias("t")), "url-tree")
@@ -95,11 +109,7 @@ def learn_templates(pages: DataFrame, labels: DataFrame, settings: Settings = Se
         stats = tree.groupBy("host", "t").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad")).filter(F.size("t") > level)
         stats = stats.withColumn("merged", F.transform("t", lambda x, i: F.when(i == level, F.lit("~")).otherwise(x)))
         family = stats.groupBy("host", "merged").agg(F.count("*").alias("k"), F.sum("lab").alias("all"), F.sum("bad").alias("all_bad")).filter("k > 1")
-        rest, rest_bad = F.col("all") - F.col("lab"), F.col("all_bad") - F.col("bad")
-        pooled = F.col("all_bad") / F.col("all")
-        gap = F.col("bad") / F.col("lab") - rest_bad / rest
-        alike = (F.col("lab") == 0) | (rest == 0) | (F.col("all_bad") == 0) | (F.col("all_bad") == F.col("all"))
-        chi2 = F.when(~alike, gap * gap / (pooled * (1 - pooled) * (1 / F.col("lab") + 1 / rest)))
+        alike, chi2 = _proportions()
         merged = stats.join(family, ["host", "merged"]).filter(alike | (chi2 < s.chi2)).select("host", "t", "merged")
         tree = table(tree.join(merged, ["host", "t"], "left").select("host", "shape", "n", "lab", "bad", F.coalesce("merged", "t").alias("t")), "url-tree")
 

@@ -337,3 +337,17 @@ def test_url_templates(spark):
     got = {r["page_id"]: r for r in urls.url_filter(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
     assert all(got[i]["verdict"] == ("block" if i % 3 == 0 else "allow") for i in range(900))
     assert len({got[i]["template"] for i in range(900)}) <= 4
+
+
+def judged_urls(spark, paths, bad):
+    pages = spark.createDataFrame([(i, f"http://host.test{p}") for i, p in enumerate(paths)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - b, b) for i, b in enumerate(bad) if i % 2], "doc_id long, quality int, toxic int")
+    return {r["page_id"]: r for r in urls.url_filter(pages, labels).collect()}
+
+
+def test_small_url_sections_with_labels_of_their_own(spark):
+    paths = [f"/section-{chr(97 + i % 29 // 6)}{chr(97 + i % 29 % 6)}/{"xyz"[i // 29 % 3]}{i}" for i in range(1800)]
+    bad = [int(p.startswith("/section-bc/")) for p in paths]
+    got = judged_urls(spark, paths, bad)
+    assert [got[i]["verdict"] for i in range(1800)] == ["block" if b else "allow" for b in bad]
+    assert len({got[i]["template"] for i in range(1800)}) <= 4
