@@ -22,13 +22,12 @@ from corpusforge.runtime import small, table
 
 @dataclass(frozen=True)
 class Settings:
-    """``depth``: segments looked at, the rest being one. A child of a node with more than ``children`` of
+    """A child of a node with more than ``children`` of
     them is generalised if it has less than ``share`` of its pages, unless it has ``apart`` labels or more
     and the test (with a correction for continuity, as there are many children) tells it from the others. Branches are merged below ``chi2``
     (95 % for one degree of freedom). ``strength``: labelled pages that the overall share counts as.
     A template is rejected from a smoothed share of ``reject``."""
 
-    depth: int = 4
     children: int = 20
     share: float = 0.05
     apart: int = 5
@@ -67,10 +66,10 @@ def shape_of(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, "(?i)[0-9a-f]{16,}", "#"), "[0-9]+", "#")
 
 
-def _segments(shape: Column, depth: int) -> Column:
-    """The first segments as they are and the others as one ``**``."""
-    parts = F.split(shape, "/")
-    return F.when(F.size(parts) - 1 > depth, F.concat(F.slice(parts, 1, depth + 1), F.array(F.lit("**")))).otherwise(parts)
+def _levels(tree: DataFrame) -> list[int]:
+    """The levels at which some host has several segments; at others there is nothing to generalise or to merge."""
+    at = tree.select("host", F.posexplode("t").alias("level", "segment")).groupBy("host", "level").agg(F.min("segment").alias("a"), F.max("segment").alias("b"))
+    return sorted(r[0] for r in at.filter("level > 0 and a <> b").select("level").distinct().collect())
 
 
 def _proportions(continuous: bool = False) -> tuple[Column, Column]:
@@ -90,11 +89,12 @@ def learn_templates(pages: DataFrame, labels: DataFrame, settings: Settings = Se
     """
     s = settings
     seen = pages.join(labels, "page_id", "left").groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("bad").alias("lab"), F.count_if("bad").alias("bad"))
-    tree = table(seen.withColumn("t", _segments(F.col("shape"), s.depth)), "url-shapes")
+    tree = table(seen.withColumn("t", F.split("shape", "/")), "url-shapes")
     total = tree.agg(F.sum("lab"), F.sum("bad")).first()
     overall = (total[1] or 0) / (total[0] or 1)
 
-    for level in range(1, s.depth + 1):
+    levels = _levels(tree)
+    for level in levels:
         at = tree.filter(F.size("t") > level).select("host", F.slice("t", 1, level).alias("above"), F.col("t")[level].alias("child"), "n", "lab", "bad")
         child = at.groupBy("host", "above", "child").agg(F.sum("n").alias("c"), F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
         node = child.groupBy("host", "above").agg(F.count("*").alias("k"), F.sum("c").alias("pages"), F.sum("lab").alias("all"), F.sum("bad").alias("all_bad")).filter(F.col("k") > s.children)
@@ -105,7 +105,7 @@ def learn_templates(pages: DataFrame, labels: DataFrame, settings: Settings = Se
         new = F.when(F.col("rare"), F.transform("t", lambda x, i: F.when(i == level, F.lit("*")).otherwise(x))).otherwise(F.col("t"))
         tree = table(placed.join(rare, ["host", "above", "child"], "left").select("host", "shape", "n", "lab", "bad", new.alias("t")), "url-tree")
 
-    for level in range(s.depth, 0, -1):
+    for level in reversed(levels):
         stats = tree.groupBy("host", "t").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad")).filter(F.size("t") > level)
         stats = stats.withColumn("merged", F.transform("t", lambda x, i: F.when(i == level, F.lit("~")).otherwise(x)))
         family = stats.groupBy("host", "merged").agg(F.count("*").alias("k"), F.sum("lab").alias("all"), F.sum("bad").alias("all_bad")).filter("k > 1")

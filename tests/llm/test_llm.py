@@ -351,3 +351,9 @@ def test_small_url_sections_with_labels_of_their_own(spark):
     got = judged_urls(spark, paths, bad)
     assert [got[i]["verdict"] for i in range(1800)] == ["block" if b else "allow" for b in bad]
     assert len({got[i]["template"] for i in range(1800)}) <= 4
+
+
+def test_url_branches_below_the_fourth_segment(spark):
+    paths = [f"/2021/{i % 12}/{i % 28}/news/{('spam', 'local', 'world')[i % 3]}/x{i}/y/z" for i in range(900)]
+    got = judged_urls(spark, paths, [int(i % 3 == 0) for i in range(900)])
+    assert [got[i]["verdict"] for i in range(900)] == ["allow" if i % 3 else "block" for i in range(900)]
