@@ -74,3 +74,13 @@ def test_turn_issues(spark):
     rows = [(c, i, r) for c, line in turns.items() for i, r in enumerate(line.split())]
     got = dict(quality.turn_issues(spark.createDataFrame(rows, "c long, n long, role string"), "c", "n", "role").collect())
     assert got == {1: "valid", 2: "starts_with_assistant", 3: "empty", 4: "consecutive_user", 5: "valid"}
+
+
+def test_first_wins_near_dedup_rejects_contained_texts(spark, tmp_path):
+    from corpusforge.plans.catalogue import QUERIES
+
+    long = " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60))
+    texts = [long, " ".join(long.split()[10:40]), " ".join(reversed(long.split())), "\u4f60\u597d", "\u518d\u89c1", "\u4f60\u597d"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["accepted"] for r in QUERIES["first_wins_near_dedup"](spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(6)] == [True, False, True, True, True, False]
