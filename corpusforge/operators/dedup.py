@@ -63,9 +63,15 @@ def set_similarity_pairs(classes: DataFrame, threshold: float, measure: str = "j
     return both.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), sim.alias("sim")).filter(F.col("sim") >= threshold)
 
 
-def minhash_pairs(classes: DataFrame, threshold: float = 0.8, bands: int = 9, rows: int = 13) -> DataFrame:
-    """``(i, j, sim)``: pairs that agree on a whole band of MinHash values, verified by Jaccard."""
-    hashes = [F.array_min(F.transform("tokens", lambda t, s=s: F.xxhash64(F.lit(s), t))) for s in range(bands * rows)]
+def minhash_pairs(classes: DataFrame, threshold: float = 0.8, bands: int = 18, rows: int = 7) -> DataFrame:
+    """``(i, j, sim)``: pairs that agree on a whole band of MinHash values, verified by Jaccard.
+
+    18 bands of 7 rows find a pair of Jaccard 0.8 with probability 0.985 (9 of 13, the survey's reading: 0.40).
+    """
+    def least(s: int) -> Column:  # a lambda of two arguments would get the position as its second
+        return F.array_min(F.transform("tokens", lambda t: F.xxhash64(F.lit(s), t)))
+
+    hashes = [least(s) for s in range(bands * rows)]
     signed = classes.filter(F.size("tokens") > 0).select("class_id", F.array(*hashes).alias("m"))
     keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.slice("m", b * rows + 1, rows)).alias("key")) for b in range(bands)])
     banded = signed.select("class_id", F.explode(keys).alias("k")).select("class_id", "k.band", "k.key")

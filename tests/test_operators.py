@@ -84,3 +84,16 @@ def test_first_wins_near_dedup_rejects_contained_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["accepted"] for r in QUERIES["first_wins_near_dedup"](spark, str(tmp_path)).collect()}
     assert [got[i] for i in range(6)] == [True, False, True, True, True, False]
+
+
+def test_minhash_recall_near_the_threshold(spark):
+    from corpusforge.operators import dedup
+
+    rows = []
+    for i in range(60):  # 9 of 10 words shared each way: Jaccard 81 / 99
+        words = [f"w{i}-{j}" for j in range(99)]
+        rows += [(2 * i, words[:90]), (2 * i + 1, words[9:])]
+    classes = spark.createDataFrame(rows, "class_id long, tokens array<string>")
+    exact = {(r["i"], r["j"]) for r in dedup.set_similarity_pairs(classes, 0.8).collect()}
+    found = {(r["i"], r["j"]) for r in dedup.minhash_pairs(classes, 0.8).collect()}
+    assert len(exact) == 60 and found <= exact and len(found) >= 0.9 * len(exact)
