@@ -57,9 +57,52 @@ def test_exact(spark, docs, texts):
 
 
 def test_directory_doubles():
-    depth, pointers = exact_dedup.grow_directory({0: 5, 1: 1, 7: 9}, 3, 4)
-    assert depth == 3 and len(pointers) == 8 and pointers == sorted(pointers)
-    assert exact_dedup.grow_directory({}, 3, 4) == (0, [0])
+    buckets = exact_dedup.split_overfull({1}, {0: 5, 1: 1, 7: 9}, 3, 4)
+    assert buckets == {8: 5, 9: 1, 5: 0, 6: 0, 14: 0, 15: 9}
+    depth, directory = exact_dedup.pointers(buckets)
+    assert depth == 3 and directory == [(0, 8), (1, 9), (2, 5), (3, 5), (4, 6), (5, 6), (6, 14), (7, 15)]
+    assert exact_dedup.split_overfull({1}, {}, 3, 4) == {1: 0} and exact_dedup.pointers({1}) == (0, [(0, 1)])
+
+
+def weak_key(text):
+    """Seven keys only, spread over all 64 bits, so that different texts meet in chains."""
+    return F.xxhash64(F.pmod(F.xxhash64(text), F.lit(7)))
+
+
+@pytest.mark.parametrize("rows", [64, 2])
+def test_exact_chains_collisions(docs, texts, rows, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "CHAINED_ROWS", rows)
+    got = by_id(exact_dedup.exact_dedup(docs, bucket_keys=1, key_of=weak_key))
+    for i, t in enumerate(texts):
+        same = [j for j, u in enumerate(texts) if (u or "") == (t or "")]
+        assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"]) == (max(same), len(same), i == max(same))
+
+
+@pytest.mark.parametrize("key_of", [F.xxhash64, weak_key])
+def test_exact_index_takes_further_rows(spark, docs, texts, key_of):
+    first = exact_dedup.index_of(docs.filter("doc_id < 30"), key_of=key_of, bucket_keys=8)
+    both = exact_dedup.index_of(docs.filter("doc_id >= 30"), first, key_of=key_of, bucket_keys=8)
+    depth, directory = exact_dedup.pointers(both.buckets)
+    bucket = dict(directory)
+    seen = {}
+    for r in both.entries.collect():
+        assert r["text"] not in seen
+        seen[r["text"]] = (r["keep_id"], r["group_size"])
+        assert r["bucket"] == bucket[(r["key"] % 2**64) >> (64 - depth)]
+    whole = [t or "" for t in texts]
+    assert seen == {t: (max(i for i, u in enumerate(whole) if u == t), whole.count(t)) for t in whole}
+    assert sum(both.buckets.values()) == len({r["key"] for r in both.entries.collect()})
+    if key_of is F.xxhash64:
+        assert depth > exact_dedup.pointers(first.buckets)[0] and all(n <= 8 for n in both.buckets.values())
+
+
+def test_exact_buckets_that_no_row_falls_in_keep_their_files(docs):
+    first = exact_dedup.index_of(docs, bucket_keys=4)
+    again = exact_dedup.index_of(docs.filter("doc_id = 40"), first, bucket_keys=4)
+    old, new = set(first.entries.inputFiles()), set(again.entries.inputFiles())
+    assert old < new
+    changed = again.entries.exceptAll(first.entries).collect()
+    assert [(r["keep_id"], r["group_size"]) for r in changed] == [(r["keep_id"], r["group_size"] + 1) for r in first.entries.exceptAll(again.entries).collect()] and len(changed) == 1
 
 
 def reference_fingerprint(text, k=4):
