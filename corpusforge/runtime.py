@@ -13,14 +13,19 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows a side may have, after counting, to be broadcast by :func:`small`.
 BROADCAST_ROWS = 100_000
+#: Bytes that their values may have.
+BROADCAST_BYTES = 16 << 20
 
 _own: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,17 +42,39 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[app]}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of shared storage; one that isn't there is passed by."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`table` writes inside are removed at the end; what is wanted of them has to be written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
 def table(df: DataFrame, label: str) -> DataFrame:
     """Write the rows to shared storage once; return the written table."""
     path = f"{shared_dir(df.sparkSession)}/corpusforge/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table with a broadcast hint if it has at most ``rows`` rows, else as it is.
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """The table with a broadcast hint if it has at most ``rows`` rows and about ``size`` bytes, else as it is.
 
-    ``df`` should be cheap to scan (a :func:`table`), since it is counted. Beyond the
-    bound the planner is left to shuffle, where adaptive execution splits hot keys.
+    ``df`` should be cheap to scan (a :func:`table`), since it is counted, and its strings,
+    binaries and arrays are measured. Beyond the bounds the planner is left to shuffle,
+    where adaptive execution splits hot keys.
     """
-    return F.broadcast(df) if df.count() <= rows else df
+    long = [F.octet_length(c) if t in ("string", "binary") else F.octet_length(F.to_json(c)) for c, t in df.dtypes if t in ("string", "binary") or t.startswith(("array", "map"))]
+    found = df.agg(F.count("*"), *[F.coalesce(F.sum(x), F.lit(0)) for x in long]).first()
+    return F.broadcast(df) if found[0] <= rows and sum(found[1:]) + 16 * len(df.columns) * found[0] <= size else df
