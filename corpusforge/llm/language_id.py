@@ -14,14 +14,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 DIMENSIONS, NGRAM = 512, 3
 #: Most labelled rows that prototypes are learned from; picked by a hash, whatever the size of the table.
 TRAINING_ROWS = 40_000
 _CACHED_GRAMS, _PART = 1 << 14, 1 << 18
 UNKNOWN = "und"
+_LETTER, _BETWEEN = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}\p{M}]+")
 
 
 @lru_cache(maxsize=50_000)
@@ -59,19 +62,21 @@ class Encoder:
         return total
 
     def vector(self, text: str | None) -> np.ndarray | None:
-        """Unit vector of a text, or None if it has no letter. Any run of other characters is one blank."""
-        total, tail, any_letter = np.zeros(DIMENSIONS, np.float64), np.array([32], np.uint32), False
-        for i in range(0, len(text or ""), _PART):
-            words = "".join([c if c.isalpha() else " " for c in text[i : i + _PART].lower()]).split()
-            if not words:
-                continue
-            any_letter = True
-            codes = np.concatenate((tail, np.frombuffer((" ".join(words) + " ").encode("utf-32-le"), np.uint32)))
+        """Unit vector of a text, or None if it has no letter. Words are letters and their marks; any run of others is one blank."""
+        if text is None or not _LETTER.search(text):
+            return None
+        low, blank = text.lower(), np.array([32], np.uint32)
+        total, tail = np.zeros(DIMENSIONS, np.float64), blank
+        for i in range(0, len(low), _PART):
+            line = _BETWEEN.sub(" ", low[i : i + _PART])
+            line = line[1:] if tail[-1] == 32 and line[0] == " " else line
+            codes = np.concatenate((tail, np.frombuffer(line.encode("utf-32-le"), np.uint32)))
+            codes = np.concatenate((codes, blank)) if i + _PART >= len(low) and codes[-1] != 32 else codes
             if len(codes) > 2:
                 total += self._bundle(codes)
-            tail = codes[-2:] if len(codes) > 1 else codes
+            tail = codes[-2:]
         norm = np.linalg.norm(total)
-        return total / norm if any_letter and norm else None
+        return total / norm if norm else None
 
 
 @lru_cache(maxsize=1)
@@ -79,17 +84,22 @@ def _encoder() -> Encoder:
     return Encoder()
 
 
-def learn(docs: DataFrame, text_col: str, lang_col: str, training_rows: int = TRAINING_ROWS) -> dict[str, np.ndarray]:
+def chosen(share: float, *columns: str) -> Column:
+    """True for about this share of rows: a hash of the columns as a fraction of 53 bits, so that no share is too small."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") / float(1 << 53) < share
+
+
+def learn(docs: DataFrame, text_col: str, lang_col: str, training_rows: int = TRAINING_ROWS, id_col: str = "doc_id") -> dict[str, np.ndarray]:
     """Prototype by language from rows with a label and a letter; at most about ``training_rows``.
 
-    Where there are more, rows of the smallest text hashes are taken, the same share of all.
-    Partial sums are made where the rows are; by language and dimension they are summed up
-    again, so what comes to the driver is one vector for each language.
+    Where there are more, rows are picked by a hash of id and text, the same share of all. Partial
+    sums are made where the rows are; by language and dimension they are summed up again, so what
+    comes to the driver is one vector for each language.
     """
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("id"))
     share = training_rows / max(rows.select("lang").count(), 1)
-    if share < 1:
-        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    rows = (rows.filter(chosen(share, "id", "text")) if share < 1 else rows).select("lang", "text")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, total = _encoder(), {}
@@ -105,34 +115,54 @@ def learn(docs: DataFrame, text_col: str, lang_col: str, training_rows: int = TR
     return {k: found[k] / np.linalg.norm(found[k]) for k in sorted(found)}
 
 
+class Judge:
+    """Prototypes without what they have in common, which judge vectors by their cosine."""
+
+    def __init__(self, prototypes: dict[str, np.ndarray]):
+        self.langs = list(prototypes)
+        common = np.mean([*prototypes.values()], axis=0) if len(self.langs) > 1 else np.zeros(DIMENSIONS)
+        own = np.array([prototypes[x] - common for x in self.langs]).reshape(len(self.langs), DIMENSIONS)
+        self.own = own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
+        self.line = common / max(np.linalg.norm(common), 1e-12)
+
+    def columns(self, texts: pa.Array) -> list[pa.Array]:
+        """Language and score of each text."""
+        encoder, lang, score = _encoder(), [], []
+        for text in texts:
+            v = encoder.vector(text.as_py()) if self.langs else None
+            if v is None:
+                lang.append(UNKNOWN)
+                score.append(0.0)
+                continue
+            v = v - (v @ self.line) * self.line
+            cosines = self.own @ v / max(np.linalg.norm(v), 1e-12)
+            best = int(np.argmax(cosines))
+            lang.append(self.langs[best])
+            score.append(min(1.0, max(0.0, float(cosines[best]))))
+        return [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
+
+
+def annotate(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """The rows and columns of ``docs`` and two more, which must not be there yet; see :func:`identify`."""
+    judge, text_at = Judge(prototypes), docs.columns.index(text_col)
+    schema = StructType([*docs.schema.fields, StructField(lang_name, StringType()), StructField(score_name, DoubleType())])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, *judge.columns(b.column(text_at))], schema.names)
+
+    return docs.mapInArrow(apply, schema)
+
+
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, lang_pred, score``; see :func:`identify`."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    langs = list(prototypes)
-    common = np.mean([*prototypes.values()], axis=0) if len(langs) > 1 else np.zeros(DIMENSIONS)
-    own = np.array([prototypes[x] - common for x in langs]).reshape(len(langs), DIMENSIONS)
-    own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
-    line = common / max(np.linalg.norm(common), 1e-12)
+    source, judge = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), Judge(prototypes)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder()
         for b in batches:
-            lang, score = [], []
-            for text in b.column("text"):
-                v = encoder.vector(text.as_py()) if langs else None
-                if v is None:
-                    lang.append(UNKNOWN)
-                    score.append(0.0)
-                    continue
-                v = v - (v @ line) * line
-                cosines = own @ v / max(np.linalg.norm(v), 1e-12)
-                best = int(np.argmax(cosines))
-                lang.append(langs[best])
-                score.append(min(1.0, max(0.0, float(cosines[best]))))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    return source.mapInArrow(apply, f"doc_id {kind}, lang_pred string, score double")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *judge.columns(b.column("text"))], ["doc_id", "lang_pred", "score"])
+
+    return source.mapInArrow(apply, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def identify(
@@ -148,6 +178,6 @@ def identify(
     """
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     held_out = F.crc32(key) % 4 == 2
-    prototypes = learn(docs.filter(~held_out), text_col, lang_col, training_rows)
+    prototypes = learn(docs.filter(~held_out), text_col, lang_col, training_rows, id_col)
     found = predict(docs, prototypes, id_col, text_col)
     return found.select("doc_id", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) % 4 == 2).alias("held_out"), "lang_pred", "score")
