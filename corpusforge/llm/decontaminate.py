@@ -1,11 +1,13 @@
 """Benchmark decontamination over a positional inverted index.
 
 Postings (term, document, position) of the terms that benchmark items use are stored once.
-Of each window of an item the two rarest terms in the corpus are looked up first: where
-their lists meet, offsets adjusted, an item may be aligned with a document. For these
-alignments the lists of all the item's terms are intersected the same way. A run of
-matched offsets that holds a window is an exact phrase. Where nearly all terms of a
-window are found within a few places of their offsets, it's a proximity match.
+A window of an item is nearly found where most of its terms are, each within a few places
+of its offset. As few terms may lack, two of a few of them have to be found, whichever they
+are; so the lists of each window's rarest terms are looked up first, and where two of them
+meet, offsets adjusted, an item may be aligned with a document. For these alignments the
+lists of all the item's terms are intersected the same way. A run of matched offsets that
+holds a window is an exact phrase. Where enough terms of a window are found within the
+slack, it's a proximity match. Which terms are rare is a matter of speed, not of results.
 
 Everything is joins and aggregates of DataFrames. What is broadcast is counted first
 (:func:`corpusforge.runtime.small`); beyond the bound, the same joins shuffle.
@@ -28,6 +30,8 @@ BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _DOC = ["r1", "r2"]
 #: Files of a table that grows with the benchmark and not with the corpus.
 ITEM_FILES = 8
+#: Rarest terms of a window that have to meet for an alignment.
+_MEET = 2
 
 
 def _item_table(df: DataFrame, label: str) -> DataFrame:
@@ -80,16 +84,14 @@ def find_items(
     """Exact phrase and proximity matches of benchmark windows in documents.
 
     A window is ``window`` consecutive words of an item; an item of fewer words is one
-    window. A proximity match has the two rarest terms of a window, and ``near_terms`` of
-    its terms in all (all of them, if the item is shorter), each within ``slack`` places of
-    where the rarest puts it.
+    window. A proximity match is a place in a document such that ``near_terms`` of a window's
+    terms (all of them, if it has fewer) occur there, each at most ``slack`` places off.
     """
     rows = docs.select(*row_key(F.col(id_col), F.col(text_col)), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     known = benchmark.select(F.col(item_col).alias("item_id"), words(ascii_lower(F.col(item_text_col))).alias("ws")).filter(F.size("ws") > 0)
-    known = known.withColumn("item", F.xxhash64("ws"))
-    items = _item_table(known.select("item", "item_id").distinct(), "items")
-    terms_of = known.groupBy("item").agg(F.any_value("ws").alias("ws")).select("item", F.size("ws").alias("n"), F.posexplode("ws").alias("j", "word"))
-    terms_of = _item_table(terms_of, "item-words")
+    texts = _item_table(known.select("ws").distinct().select("ws", F.monotonically_increasing_id().alias("item")), "item-texts")
+    items = _item_table(known.join(texts, "ws").select("item", "item_id").distinct(), "items")
+    terms_of = _item_table(texts.select("item", F.size("ws").alias("n"), F.posexplode("ws").alias("j", "word")), "item-words")
     vocabulary = _item_table(terms_of.select("word").distinct().select("word", F.monotonically_increasing_id().alias("term")), "vocabulary")
     terms_of = _item_table(terms_of.join(vocabulary, "word").select("item", "n", "j", "term"), "item-terms")
 
@@ -97,19 +99,28 @@ def find_items(
     postings = table(tokens.join(small(vocabulary), "word").select(*_DOC, "pos", "term"), "postings")
     frequency = postings.groupBy("term").agg(F.count("*").alias("c"))
 
-    # The two rarest terms of each window, as (frequency, offset, term).
+    # Of each window the rarest terms, and how many of them any match has.
     ahead = W.partitionBy("item").orderBy("j").rowsBetween(0, window - 1)
+    size = F.least(F.lit(window), F.col("n"))
+    found = F.least(F.lit(near_terms), size)
     ranked = terms_of.join(frequency, "term", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    ranked = ranked.withColumn("rare", F.slice(F.array_sort(F.collect_list(F.struct("c", "j", "term")).over(ahead)), 1, 2)).filter(F.col("j") <= F.greatest(F.col("n") - window, F.lit(0)))
-    one, two = F.col("rare")[0], F.coalesce(F.get("rare", F.lit(1)), F.col("rare")[0])
-    anchors = ranked.filter(one["c"] > 0).select("item", one["term"].alias("term"), one["j"].alias("j"), two["term"].alias("term2"), (two["j"] - one["j"]).alias("gap")).distinct()
-    anchors = _item_table(anchors, "anchors")
-
-    rare = table(postings.join(small(anchors.select("term").union(anchors.select("term2")).distinct()), "term"), "rare-postings")
-    first = rare.join(small(anchors), "term").select(*_DOC, "item", (F.col("pos") - F.col("j")).alias("at"), (F.col("pos") + F.col("gap")).alias("expected"), F.col("term2").alias("term"))
+    ranked = ranked.withColumn("near", F.array_sort(F.collect_list(F.struct("c", "j", "term")).over(ahead))).filter(F.col("j") <= F.greatest(F.col("n") - window, F.lit(0)))
+    ranked = ranked.withColumn("need", F.least(F.lit(_MEET), found)).withColumn("rare", F.slice("near", F.lit(1), size - found + F.col("need")))
+    windows = _item_table(ranked.select("item", "need", F.array_sort(F.transform("rare", lambda x: x["j"])).alias("js")).distinct(), "windows")
+    rarest = _item_table(ranked.select("item", "need", F.explode("rare").alias("x")).groupBy("item", "x.j", "x.term").agg(F.min("need").alias("need")), "rarest-terms")
+
+    # Two places whose offsets differ by 2 * slack at most share a cell of one of two grids.
+    step = max(1, 4 * slack)
+    first = postings.join(small(rarest), "term").select(*_DOC, "item", "need", "j", (F.col("pos") - F.col("j")).alias("d"))
+    grids = F.explode(F.array(*[F.struct(F.lit(g).alias("grid"), F.floor((F.col("d") + g * 2 * slack) / step).alias("cell")) for g in range(2)])).alias("x")
+    celled = first.select(*_DOC, "item", "need", "j", "d", grids).select(*_DOC, "item", "need", "j", "d", "x.grid", "x.cell")
+    cells = celled.groupBy(*_DOC, "item", "grid", "cell").agg(F.min("j").alias("a"), F.max("j").alias("b"), F.min("need").alias("need")).filter("a < b or need = 1")
+    cells = small(table(cells.select(*_DOC, "item", "grid", "cell"), "cells"))
     around = F.explode(F.sequence(F.lit(-slack), F.lit(slack)))
-    probes = first.select(*_DOC, "item", "at", "term", "expected", around.alias("off")).withColumn("pos", F.col("expected") + F.col("off"))
-    alignments = table(probes.join(rare.distinct(), [*_DOC, "pos", "term"]).select(*_DOC, "item", "at").distinct(), "alignments")
+    met = celled.join(cells, [*_DOC, "item", "grid", "cell"], "left_semi").select(*_DOC, "item", "j", "d", around.alias("off"))
+    met = met.groupBy(*_DOC, "item", (F.col("d") + F.col("off")).alias("at")).agg(F.collect_set("j").alias("found"))
+    enough = F.size(F.array_intersect("found", "js")) >= F.col("need")
+    alignments = table(met.join(small(windows), "item").filter(enough).select(*_DOC, "item", "at").distinct(), "alignments")
 
     concerned = postings.join(small(table(alignments.select(*_DOC).distinct(), "aligned-documents")), _DOC)
     probes = alignments.join(small(terms_of), "item").select(*_DOC, "item", "at", "n", "j", "term", around.alias("off"))

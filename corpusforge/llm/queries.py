@@ -26,8 +26,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
-    return found.drop("n_near")  # proximity matches have no SQL to compare with
+    return decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,10 +78,16 @@ ks AS (SELECT DISTINCT k FROM items),
 doc_windows AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM docs, ks WHERE len(w) >= k)),
 hits AS (SELECT doc_id, item_id, i, k FROM doc_windows JOIN item_windows USING (k, win)),
 n_hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY doc_id),
-of_items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS sha FROM hits GROUP BY doc_id)
+of_items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS sha FROM hits GROUP BY doc_id),
+tokens AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM docs),
+terms AS (SELECT item_id, len(w) AS n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM items),
+places AS (SELECT doc_id, item_id, any_value(n) AS n, p - j + s AS at, list(DISTINCT j) AS js FROM tokens JOIN terms USING (word), (SELECT unnest(range(-2, 3)) AS s)
+  GROUP BY doc_id, item_id, p - j + s HAVING count(DISTINCT j) >= least(11, any_value(n))),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (SELECT *, unnest(range(1, greatest(n - 12, 1) + 1)) AS a FROM places)
+  WHERE len(list_filter(js, lambda j: j BETWEEN a AND a + 12)) >= least(11, n) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(sha, sha256('')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM docs LEFT JOIN n_hit USING (doc_id) LEFT JOIN of_items USING (doc_id)""",
+  coalesce(n_near, 0)::BIGINT AS n_near, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN n_hit USING (doc_id) LEFT JOIN of_items USING (doc_id) LEFT JOIN near USING (doc_id)""",
     "op8_line_dedup": """
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM docs) WHERE trim(ls[i]) <> ''),
