@@ -165,7 +165,7 @@ def encode_docs(
     return short.mapInArrow(encode_short, schema).union(ended.groupBy("doc_id", "h").applyInPandas(encode_long, schema))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of the rows of :func:`encode_docs`."""
+def digests(encoded: DataFrame, ids: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of the rows of :func:`encode_docs`; on request the ``ids`` too."""
     n = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
-    return encoded.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encoded.select("doc_id", n, *(["ids"] if ids else []), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

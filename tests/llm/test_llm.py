@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -10,12 +11,12 @@ import public_tokenizers as P
 import pytest
 import sentencepiece
 import tiktoken
-import xxhash
 from pyspark.sql import functions as F
 
-import corpus_pipeline
+import brute
 from corpusforge.llm import bpe, decontaminate, exact_dedup, language_id, licenses, line_dedup, secrets, simhash, token_counts, urls
 
+SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, r1 string, key string, fp string, Text2 string"
 ODD = [None, "", " ", "\n\n", "x", "İſK Ⅷ", "a\u00a0b\u2028c", "🙂 " * 30, "the " * 3000 + "end", "'s 're it's  \t\n x", "tok\0en"]
 
@@ -105,27 +106,11 @@ def test_exact_buckets_that_no_row_falls_in_keep_their_files(docs):
     assert [(r["keep_id"], r["group_size"]) for r in changed] == [(r["keep_id"], r["group_size"] + 1) for r in first.entries.exceptAll(again.entries).collect()] and len(changed) == 1
 
 
-def reference_fingerprint(text, k=4):
-    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    if not words:
-        return 0
-    grams = [" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))]
-    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
 @pytest.mark.parametrize("tile", [4096, 3])
 def test_simhash(spark, docs, texts, tile):
     got = by_id(simhash.simhash_dedup(docs, tile=tile))
-    prints = [reference_fingerprint(t) for t in texts]
-    root = list(range(len(texts)))
-    changed = True
-    while changed:
-        changed = False
-        for i, a in enumerate(prints):
-            for j, b in enumerate(prints):
-                if (a ^ b).bit_count() <= 4 and root[j] > root[i]:
-                    root[j], changed = root[i], True
+    prints = [brute.fingerprint(t) for t in texts]
+    root = brute.components(prints)
     assert {i: (r["fingerprint"], r["component_id"]) for i, r in got.items()} == {i: (f"{p:016x}", root[i]) for i, p in enumerate(prints)}
     assert simhash.simhash_dedup(empty(spark)).count() == 0
 
@@ -140,9 +125,6 @@ def test_any_close_pair_shares_a_key(spark):
         assert rows.filter(~F.arrays_overlap(simhash.block_keys(F.col("a"), 4, blocks), simhash.block_keys(F.col("b"), 4, blocks))).count() == 0
 
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-
-
 def test_decontamination(spark):
     r = random.Random(4)
     words = [f"w{i}" for i in range(40)]
@@ -159,21 +141,11 @@ def test_decontamination(spark):
     texts.append(texts[5])
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, term string")
     got = by_id(decontaminate.decontaminate(docs, bench))
-    low = lambda t: WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     for i, t in enumerate(texts):
-        ws, hit, found = low(t), set(), set()
-        for k, item in enumerate(items):
-            it = low(item)
-            n = min(13, len(it))
-            for a in range(len(it) - n + 1 if it else 0):
-                for b in range(len(ws) - n + 1):
-                    if ws[b : b + n] == it[a : a + n]:
-                        hit |= set(range(b, b + n))
-                        found.add(k)
+        ws, hit, found, near = brute.contamination(t, items)
         sha = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
-        want = (len(ws), len(hit), len(found), sha, bool(hit) and 20 * len(hit) >= len(ws))
-        assert (got[i]["n_words"], got[i]["n_hit"], got[i]["n_items"], got[i]["items_sha256"], got[i]["contaminated"]) == want, t
-        assert got[i]["n_near"] >= got[i]["n_items"]
+        want = (len(ws), len(hit), len(found), sha, bool(hit) and 20 * len(hit) >= len(ws), len(near))
+        assert (got[i]["n_words"], got[i]["n_hit"], got[i]["n_items"], got[i]["items_sha256"], got[i]["contaminated"], got[i]["n_near"]) == want, t
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
     assert {r["n_hit"] for r in decontaminate.decontaminate(docs, bench.limit(0)).collect()} == {0}
 
@@ -185,16 +157,6 @@ def test_proximity(spark):
     assert (got["n_hit"], got["n_near"]) == (0, 1)
 
 
-def edits(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a):
-        new = [i + 1]
-        for j, y in enumerate(b):
-            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
-        row = new
-    return row[-1]
-
-
 def mutated(r, s, n, letters="abc"):
     s = list(s)
     for _ in range(n):
@@ -214,7 +176,7 @@ def test_edit_distance(spark):
     rows = spark.createDataFrame(pairs, "a string, b string")
     for k in (1, 2, 3):
         for x in rows.select("a", "b", line_dedup.edit_distance(F.col("a"), F.col("b"), k).alias("d")).collect():
-            assert x["d"] == min(edits(x["a"], x["b"]), k + 1)
+            assert x["d"] == min(brute.edits(x["a"], x["b"]), k + 1)
 
 
 @pytest.mark.parametrize(("k", "tile"), [(1, 64), (2, 64), (1, 2), (3, 2)])
@@ -224,21 +186,8 @@ def test_lines(spark, k, tile):
     texts = [None, "", "\n", " "] + ["\n".join(mutated(r, r.choice(seeds), r.choice((0, 0, 1, 2, 3))) for _ in range(r.randint(1, 6))) for _ in range(40)]
     docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, line string")
     got = by_id(line_dedup.line_dedup(docs, edits=k, min_chars=12, tile=tile))
-    seen = []
-    for i, t in enumerate(texts):
-        kept, exact, near = [], 0, 0
-        for line in (t or "").split("\n"):
-            if not line.strip(" "):
-                kept.append(line)
-                continue
-            if line in seen:
-                exact += 1
-            elif len(line) >= 12 and any(len(x) >= 12 and edits(x, line) <= k for x in seen):
-                near += 1
-            else:
-                kept.append(line)
-            seen.append(line)
-        assert got[i]["text"] == (None if t is None else "\n".join(kept))
+    for i, (t, (text, exact, near)) in enumerate(zip(texts, brute.without_lines(texts, k, 12), strict=True)):
+        assert got[i]["text"] == text, t
         assert (got[i]["line_dedup"]["n_exact"], got[i]["line_dedup"]["n_near"], got[i]["line"]) == (exact, near, "c")
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
 
@@ -255,18 +204,8 @@ def test_lines_with_a_word_replaced(spark, tile):
         texts.append(" ".join(ws))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = by_id(line_dedup.line_dedup(docs, min_chars=20, tile=tile, min_words=4))
-    for i, t in enumerate(texts):
-        seen, words = [x for x in texts[:i] if len(x) >= 20], t.split(" ")
-        replaced = [x for x in seen if len(words) >= 4 and len(x.split(" ")) == len(words) and sum(a != b for a, b in zip(words, x.split(" "), strict=True)) <= 1]
-        gone = t in texts[:i] or len(t) >= 20 and (bool(replaced) or any(edits(x, t) <= 1 for x in seen))
-        assert got[i]["text"] == ("" if gone else t), t
-
-
-def test_pipeline_drops_a_line_with_one_word_replaced(spark):
-    line = "The committee met on {} in the large hall of the old town and adjourned after two hours"
-    docs = spark.createDataFrame([(1, line.format("2021-03-04")), (2, line.format("2022-11-28")), (3, line.format("Monday").replace("two", "seven"))], "doc_id long, text string")
-    kept = by_id(corpus_pipeline.lines(spark, docs, ""))
-    assert [bool(kept[i]["text"]) for i in (1, 2, 3)] == [True, False, True]
+    for i, (text, _, _) in enumerate(brute.without_lines(texts, 1, 20, 4)):
+        assert got[i]["text"] == text, texts[i]
 
 
 @pytest.fixture(scope="module")
@@ -344,6 +283,33 @@ def test_language(spark):
     assert language_id.identify(docs.limit(0)).count() == 0
 
 
+def test_language_against_brute_force(spark, monkeypatch):
+    r = random.Random(5)
+    words = {"xa": ["bara", "lotí", "हिन्दी", "ra"], "xb": ["schung", "ein", "verß", "ΣΑΣ"], "xc": ["ción", "İst", "e\u0301z"]}
+    rows = [(i, r.choice((" ", "-", "1", "\n")).join(r.choices(words[k], k=r.randint(1, 30))), r.choice((k, k, None)), "c") for i in range(150) for k in [r.choice(("xa", "xb", "xc"))]]
+    rows += [(200, None, "xa", "c"), (201, "", "xb", "c"), (202, "12 \u0301", "xb", "c"), (203, "bara" * 900 + " " + "ein " * 500, "xa", "c"), rows[3], rows[3]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
+    monkeypatch.setattr(language_id, "_PART", 13)  # the encoder reads texts in parts
+    assert all((a is None) == (b is None) and (a is None or abs(a - b).max() < 1e-9) for t in [x[1] for x in rows] for a, b in [(language_id.Encoder().vector(t), brute.language_vector(t))])
+    learned = [i for i, x in enumerate(rows) if zlib.crc32(str(x[0]).encode()) % 4 != 2]
+    want = brute.languages([(x[1], x[2]) for x in rows], learned)
+    got = sorted((x["doc_id"], x["lang_pred"], round(x["score"], 6), x["held_out"]) for x in language_id.identify(docs).collect())
+    assert got == sorted((x[0], k, round(s, 6), zlib.crc32(str(x[0]).encode()) % 4 == 2) for x, (k, s) in zip(rows, want, strict=True))
+
+
+def test_some_rows_are_learned_from_at_any_size(spark):
+    share = language_id.TRAINING_ROWS / 1e11
+    assert 0 < spark.range(20_000_000).filter(language_id.chosen(share * 1000, "id")).count() < 20_000
+    assert 0 < spark.range(20_000_000).filter(language_id.chosen(share, "id")).count() < 40
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held = language_id.identify(docs).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").filter("lang is not null and lang_pred <> 'und'")
+    assert held.filter("lang = lang_pred").count() >= 0.95 * held.count() > 0
+
+
 def test_licenses(spark):
     full = licenses._MIT
     texts = [None, "", "Released under the MIT license", "prose\nLicensed under CC BY-NC 4.0.\nmore", full, f"intro\n\n{full}\n\noutro", full.replace("Software", "Library"), "nothing of the kind here"]
