@@ -1,66 +1,5 @@
-"""A training corpus from raw documents, in five stages.
+"""A training corpus from raw documents; the stages are in the subpackage of the operators that they call."""
 
-Each stage takes ``(spark, docs, sf_dir)``; its rows are written as Parquet and read again
-as the next one's ``docs``. All but the last return the columns of ``documents``.
-"""
+from corpusforge.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import uuid
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from corpusforge.llm import bpe, decontaminate, language_id, line_dedup, simhash
-from corpusforge.llm.queries import BPE_RANKS
-from corpusforge.runtime import shared_dir, table
-
-#: Characters from which on the lines of this pipeline have near copies.
-LINE_CHARS = 20
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language: those whose text is null or without a letter go."""
-    found = table(language_id.identify(docs).filter(F.col("lang_pred") == language_id.UNKNOWN).select("doc_id").distinct(), "no-language")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti").filter("text is not null")
-
-
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that came before, one edit or one replaced word away at most. ``n_chars`` follows the text."""
-    kept = line_dedup.line_dedup(docs, min_chars=LINE_CHARS, min_words=line_dedup.MIN_WORDS).drop("line_dedup")
-    return kept.withColumn("n_chars", F.char_length("text").cast("long"))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates, the document of the smallest id."""
-    found = simhash.simhash_dedup(docs)
-    first = table(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "kept-documents")
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-
-
-def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated by a benchmark."""
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = table(found.filter("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
-
-
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of the ids and of what they decode to."""
-    encoded = bpe.encode_docs(docs, BPE_RANKS, public_tokenizers.PATTERN)
-    return bpe.digests(encoded)
-
-
-STAGES = [("language_id", language), ("line_dedup", lines), ("simhash_dedup", near_duplicates), ("decontaminate", benchmarks), ("byte_bpe", tokens)]
-
-#: Fingerprints (XXH64) and token ids have no SQL; tests compare the stages with brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/corpusforge/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
