@@ -16,7 +16,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows a side may have, after counting, to be broadcast by :func:`small`.
@@ -78,3 +78,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     long = [F.octet_length(c) if t in ("string", "binary") else F.octet_length(F.to_json(c)) for c, t in df.dtypes if t in ("string", "binary") or t.startswith(("array", "map"))]
     found = df.agg(F.count("*"), *[F.coalesce(F.sum(x), F.lit(0)) for x in long]).first()
     return F.broadcast(df) if found[0] <= rows and sum(found[1:]) + 16 * len(df.columns) * found[0] <= size else df
+
+
+def parted(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have one of the keys, rows that surely have none) by a long column of hashes.
+
+    ``keys``: a :func:`table` with one column of such hashes. Their last bits are marked in a bit map,
+    64 to a row, which is broadcast: 16 bits for each key, at most 2 ** 27, so 32 MB. A row whose bit isn't
+    marked can be kept or dropped without a shuffle; only the others need an exact join.
+    """
+    size = min(max((16 * keys.count()).bit_length(), 16), 27)
+    place = lambda c: F.pmod(c, F.lit(1 << size)).cast("long")
+    at = keys.select(place(F.col(keys.columns[0])).alias("x")).distinct()
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(F.lit(63)).cast("int"))
+    marks = at.groupBy(F.shiftright("x", 6).alias("__word")).agg(F.bit_or(mask).alias("__bits"))
+    marked = df.withColumn("__x", place(key)).withColumn("__word", F.shiftright("__x", 6)).join(F.broadcast(marks), "__word", "left")
+    held = F.coalesce(F.getbit("__bits", F.col("__x").bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
+    return tuple(marked.filter(which).drop("__word", "__x", "__bits") for which in (held, ~held))
