@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusforge.llm.keys import ascii_lower, row_key
-from corpusforge.runtime import small, table
+from corpusforge.runtime import parted, small, table
 
 WINDOW, SLACK, NEAR_TERMS = 13, 2, 11
 #: Fixed value: ASCII other than letters and digits parts words. (A-Z is lower-cased after that.)
@@ -30,8 +30,8 @@ BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _DOC = ["r1", "r2"]
 #: Files of a table that grows with the benchmark and not with the corpus.
 ITEM_FILES = 8
-#: Rarest terms of a window that have to meet for an alignment.
-_MEET = 2
+#: Rarest terms of a window that have to meet for an alignment, and places of a block.
+_MEET, _BLOCK = 2, 32
 
 
 def _item_table(df: DataFrame, label: str) -> DataFrame:
@@ -109,24 +109,26 @@ def find_items(
     windows = _item_table(ranked.select("item", "need", F.array_sort(F.transform("rare", lambda x: x["j"])).alias("js")).distinct(), "windows")
     rarest = _item_table(ranked.select("item", "need", F.explode("rare").alias("x")).groupBy("item", "x.j", "x.term").agg(F.min("need").alias("need")), "rarest-terms")
 
-    # Two places whose offsets differ by 2 * slack at most share a cell of one of two grids.
-    step = max(1, 4 * slack)
+    # Of two that meet at some alignment, each has a neighbour in the order of alignments that is no further off.
     first = postings.join(small(rarest), "term").select(*_DOC, "item", "need", "j", (F.col("pos") - F.col("j")).alias("d"))
-    grids = F.explode(F.array(*[F.struct(F.lit(g).alias("grid"), F.floor((F.col("d") + g * 2 * slack) / step).alias("cell")) for g in range(2)])).alias("x")
-    celled = first.select(*_DOC, "item", "need", "j", "d", grids).select(*_DOC, "item", "need", "j", "d", "x.grid", "x.cell")
-    cells = celled.groupBy(*_DOC, "item", "grid", "cell").agg(F.min("j").alias("a"), F.max("j").alias("b"), F.min("need").alias("need")).filter("a < b or need = 1")
-    cells = small(table(cells.select(*_DOC, "item", "grid", "cell"), "cells"))
+    line, gap = W.partitionBy(*_DOC, "item").orderBy("d"), 2 * slack
+    close = (F.col("d") - F.lag("d").over(line) <= gap) | (F.lead("d").over(line) - F.col("d") <= gap) | (F.col("need") == 1)
     around = F.explode(F.sequence(F.lit(-slack), F.lit(slack)))
-    met = celled.join(cells, [*_DOC, "item", "grid", "cell"], "left_semi").select(*_DOC, "item", "j", "d", around.alias("off"))
+    met = first.withColumn("close", close).filter("close").select(*_DOC, "item", "j", "d", around.alias("off"))
     met = met.groupBy(*_DOC, "item", (F.col("d") + F.col("off")).alias("at")).agg(F.collect_set("j").alias("found"))
     enough = F.size(F.array_intersect("found", "js")) >= F.col("need")
     alignments = table(met.join(small(windows), "item").filter(enough).select(*_DOC, "item", "at").distinct(), "alignments")
 
-    concerned = postings.join(small(table(alignments.select(*_DOC).distinct(), "aligned-documents")), _DOC)
-    probes = alignments.join(small(terms_of), "item").select(*_DOC, "item", "at", "n", "j", "term", around.alias("off"))
-    probes = probes.withColumn("pos", F.col("at") + F.col("j") + F.col("off"))
-    matched = probes.join(concerned.distinct(), [*_DOC, "pos", "term"])
-    matched = table(matched.groupBy(*_DOC, "item", "at", "n", "j").agg(F.min(F.abs("off")).alias("off")), "matched-offsets")
+    # Alignments that are near each other look their terms up together, in blocks of places.
+    together = alignments.groupBy(*_DOC, "item", F.floor(F.col("at") / _BLOCK).alias("near")).agg(F.collect_set("at").alias("ats"))
+    probes = together.join(small(terms_of), "item").select(*_DOC, "item", "n", "j", "term", "ats", (F.array_min("ats") + F.col("j") - slack).alias("low"), (F.array_max("ats") + F.col("j") + slack).alias("high"))
+    block = lambda c: F.floor(F.col(c) / _BLOCK)
+    probes = probes.withColumn("block", F.explode(F.sequence(block("low"), block("high"))))
+    concerned, _ = parted(postings, F.col("r1"), table(alignments.select("r1").distinct(), "aligned-documents"))
+    lists = concerned.select(*_DOC, "term", "pos", block("pos").alias("block"))  # rows that repeat a document make no difference to a least distance
+    matched = probes.join(lists, [*_DOC, "term", "block"]).filter(F.col("pos").between(F.col("low"), F.col("high")))
+    matched = matched.select(*_DOC, "item", "n", "j", F.explode("ats").alias("at"), (F.col("pos") - F.col("j")).alias("d")).withColumn("off", F.abs(F.col("d") - F.col("at")))
+    matched = table(matched.filter(F.col("off") <= slack).groupBy(*_DOC, "item", "at", "n", "j").agg(F.min("off").alias("off")), "matched-offsets")
 
     line = W.partitionBy(*_DOC, "item", "at").orderBy("j")
     exact = matched.filter("off = 0").withColumn("run", F.col("j") - F.row_number().over(line))
