@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from corpusforge.llm import bpe, decontaminate, language_id, line_dedup, simhash
 from corpusforge.llm.keys import row_key
 from corpusforge.llm.queries import BPE_RANKS
-from corpusforge.runtime import remove, scratch, shared_dir, small, table
+from corpusforge.runtime import parted, remove, scratch, shared_dir, small, table
 
 #: Characters from which on the lines of this pipeline have near copies.
 LINE_CHARS = 20
@@ -35,9 +35,10 @@ def _with_row(docs: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` (with ``__row``) but for the rows ``gone`` (r1, r2), which are few against those that stay."""
-    few = small(table(gone.select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2")).distinct(), "gone"))
-    return docs.join(few, (F.col("__row.r1") == F.col("__r1")) & (F.col("__row.r2") == F.col("__r2")), "left_anti").drop("__row")
+    """``docs`` (with ``__row``) but for the rows ``gone`` (r1, r2). Texts of rows that surely stay aren't shuffled."""
+    few = table(gone.select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2")).distinct(), "gone")
+    maybe, stay = parted(docs, F.col("__row.r1"), few.select("__r1"))
+    return stay.union(maybe.join(small(few), (F.col("__row.r1") == F.col("__r1")) & (F.col("__row.r2") == F.col("__r2")), "left_anti")).drop("__row")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str, wanted: tuple[str, ...] | None = LANGUAGES, least: float = LEAST_SCORE) -> DataFrame:
