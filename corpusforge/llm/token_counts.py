@@ -7,15 +7,17 @@ which only those matter from which a longer piece can still come. What matters i
 state, and reading a character leads from it to one other state and changes the count by
 a fixed number: a deterministic transducer, compiled as far as the texts need.
 
-No piece goes on over a blank after a non-blank, so there the transducer is back in its
-first state. The map of a chunk from states to states and counts is therefore: what comes
-before its first such place (of which the count depends on the state), a number for what
-is between the first and the last, and what comes after the last. Maps compose from left
-to right in any grouping, so chunks of a long text are mapped by different tasks.
+A long text is cut into chunks, which tasks map from states to states: for each state
+that the chunk may be entered in, the state that it is left in and the change of the
+count. Which states these can be follows from the characters before the chunk, by reading
+them from every place among them. Maps of neighbours are composed, and the maps that come
+of it, in a tree. Should a chunk be entered in a state that its map lacks, the text is
+counted as a whole; so counts don't depend on what was expected.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache, reduce
@@ -27,9 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.llm.chunked import CHUNK, whole_and_windows
+from corpusforge.runtime import small, table
 
 BLANK = "▁"
 _CACHED_UNITS, _CACHED_CHARS, _STATES, _BENEATH, _END = 400_000, 48, 100_000, 32, float("-inf")
+#: Characters before a chunk that tell in which states it may be entered, and maps that are composed at once.
+CONTEXT, FAN = 64, 64
 _PROBE = "  a  b\t c ﬁ Å \n\r\n 中 "
 
 
@@ -96,6 +101,7 @@ class Transducer:
         self._numbers = {self._states[0]: 0}
         self._moves: list[dict[str, tuple[int, int]]] = [{}]
         self._as: dict[tuple[int, str], str | None] = {}
+        self._fits: dict[tuple[int, str], tuple[str, ...]] = {}
         self._first: dict[tuple[int, tuple[str, ...]], str] = {}
 
     @staticmethod
@@ -156,7 +162,7 @@ class Transducer:
         if below is None:
             return before
         if key not in self._as:
-            fit = tuple(p for p in below if self.beside(before, p))
+            fit = self._fits[key] = tuple(p for p in below if self.beside(before, p))
             self._as[key] = self._first.setdefault((node, fit), before) if fit else None
         return self._as[key]
 
@@ -206,27 +212,58 @@ class Transducer:
     def count(self, text: str) -> int:
         return self.count_units(self.units.findall(self.normalise(text)))
 
-    def chunk_map(self, normal: str) -> tuple[str, int | None, str]:
-        """(head, tokens between, tail); without a place to start anew, all is head and the number None."""
-        units = self.units.findall(normal)
-        if len(units) < 2:
-            return normal, None, ""
-        return units[0], self.count_units(units[1:-1]), units[-1]
-
-    def compose(self, left: tuple[str, int | None, str], right: tuple[str, int | None, str]) -> tuple[str, int | None, str]:
-        (h, n, t), (h2, n2, t2) = left, right
-        end, begin = (h if n is None else t), h2
-        parts = self.units.findall(end + begin)
-        if n is None and n2 is None:
-            return self.chunk_map(end + begin)
-        if n is None:
-            return (parts[0], n2, t2) if len(parts) == 1 else (parts[0], self.count_units(parts[1:]) + n2, t2)
-        if n2 is None:
-            return (h, n, parts[0]) if len(parts) == 1 else (h, n + self.count_units(parts[:-1]), parts[-1])
-        return h, n + self.count_units(parts) + n2, t2
-
-    def total(self, mapped: tuple[str, int | None, str]) -> int:
-        return self.count_units([mapped[0]]) + (mapped[1] or 0) + (self.count_units([mapped[2]]) if mapped[2] else 0)
+    def named(self, state: int) -> str:
+        """The same name for a state in all tasks: pieces that stand for others are named by what they stand for."""
+        items = [(node, self._fits.get((node, before), before), count) for node, before, count in self._states[state]]
+        return hashlib.md5(repr(items).encode("utf-8", "surrogatepass")).hexdigest()
+
+    def entered_in(self, context: str) -> list[int]:
+        """States that a text may be in after these characters, if it was in its first state before one of them; all, if it begins with them."""
+        states: dict[int, None] = {}
+        for c in context:
+            states[0] = None
+            states = dict.fromkeys((self._moves[s].get(c) or self.step(s, c))[0] for s in states)
+        return list(states)
+
+    def read(self, state: int, text: str) -> tuple[int, int]:
+        """State after a text and change of the count."""
+        total = 0
+        for c in text:
+            move = self._moves[state].get(c)
+            state, change = move if move is not None else self.step(state, c)
+            total += change
+        return state, total
+
+    def starts_anew(self, left: str, right: str) -> bool:
+        """Whether no piece has these characters side by side: then what is right of the place doesn't depend on what is left of it."""
+        return (left, right) not in self.joined
+
+    def chunk_map(self, context: str, chunk: str) -> dict[str, tuple[str, int]]:
+        """By name of the state in which a normalised chunk is entered: the state after it and the change of the count.
+
+        ``context``: characters before it, none at the beginning of the text.
+        """
+        if len(self._states) > _STATES:
+            self._forget()
+        anew = [i for i in range(1, len(chunk)) if (chunk[i - 1], chunk[i]) not in self.joined]
+        entries = self.entered_in(context) if context and not self.starts_anew(context[-1], chunk[0]) else [0]
+        if not anew:
+            return {self.named(s): (self.named(to), n) for s in entries for to, n in [self.read(s, chunk)]}
+        to, tail = self.read(0, chunk[anew[-1] :])
+        rest = self.count_units([chunk[i:j] for i, j in zip(anew, anew[1:], strict=False)]) + tail
+        return {self.named(s): (self.named(to), n + rest) for s in entries for _, n in [self.read(s, chunk[: anew[0]])]}
+
+    def chunk_maps(self, context: str, chunk: str, following: str) -> dict[str, tuple[str, int]]:
+        """As :meth:`chunk_map`; a chunk that the following character starts anew after is left in the first state."""
+        found = self.chunk_map(context, chunk)
+        if following and self.starts_anew(chunk[-1], following):
+            return {s: (self.named(0), n) for s, (_, n) in found.items()}
+        return found
+
+
+def compose(left: dict[str, tuple[str, int]], right: dict[str, tuple[str, int]]) -> dict[str, tuple[str, int]]:
+    """The map of two neighbours; entries whose way the right map lacks go."""
+    return {s: (right[m][0], n + right[m][1]) for s, (m, n) in left.items() if m in right}
 
 
 @lru_cache(maxsize=2)
@@ -243,7 +280,7 @@ def token_counts(
     rows give repeated results; an empty table gives an empty one; other columns are not
     looked at. ``model_path`` has to exist on every executor.
     """
-    short, windows = whole_and_windows(docs, id_col, text_col, chunk)
+    short, windows = whole_and_windows(docs, id_col, text_col, chunk, CONTEXT)
     kind = short.schema["doc_id"].dataType.simpleString()
 
     def count_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,19 +292,41 @@ def token_counts(
     def map_chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = _loaded(model_path)
         for f in frames:
-            maps = [machine.chunk_map(machine.normalise(t) if k == 0 else t.replace(" ", BLANK)) for k, t in zip(f["k"], f["text"], strict=True)]
-            yield f[["doc_id", "h", "k", "n_bytes"]].assign(head=[m[0] for m in maps], between=pd.array([m[1] for m in maps], "Int64"), tail=[m[2] for m in maps])
-
-    def compose(group: pd.DataFrame) -> pd.DataFrame:
-        machine = _loaded(model_path)
-        times, first = int((group["k"] == 0).sum()), group.drop_duplicates("k").sort_values("k")
-        maps = [(h, None if pd.isna(b) else int(b), t) for h, b, t in zip(first["head"], first["between"], first["tail"], strict=True)]
-        row = {"doc_id": group["doc_id"].iloc[0], "n_bytes": int(first["n_bytes"].sum()), "n_tokens": machine.total(reduce(machine.compose, maps))}
-        return pd.DataFrame([row] * times)
+            maps, sizes = [], []
+            for k, at, n, text in zip(f["k"], f["at"], f["n"], f["text"], strict=True):
+                a, b = int(k) * chunk - int(at), min(int(n), (int(k) + 1) * chunk) - int(at)
+                normal = text.replace(" ", BLANK)
+                own = BLANK + normal[a:b] if k == 0 else normal[a:b]
+                found = machine.chunk_maps(normal[:a] if k else "", own, normal[b : b + 1])
+                maps.append([{"enter": s, "leave": to, "n": count} for s, (to, count) in found.items()])
+                sizes.append(len(text[a:b].encode()))
+            yield f[["doc_id", "h", "n", "times", "k"]].assign(n_bytes=sizes, map=maps)
+
+    def put_together(group: pd.DataFrame) -> pd.DataFrame:
+        parts = group.sort_values("k")
+        maps = [{x["enter"]: (x["leave"], x["n"]) for x in m} for m in parts["map"]]
+        whole = reduce(compose, maps)
+        row = parts[["doc_id", "h", "n", "times"]].iloc[0].to_dict() | {"k": int(parts["k"].iloc[0]) // FAN, "n_bytes": int(parts["n_bytes"].sum())}
+        return pd.DataFrame([row | {"map": [{"enter": s, "leave": to, "n": c} for s, (to, c) in whole.items()]}])
+
+    def count_whole(group: pd.DataFrame) -> pd.DataFrame:
+        machine, first = _loaded(model_path), group.sort_values("k")
+        text = "".join(t[int(k) * chunk - int(at) : (int(k) + 1) * chunk - int(at)] for k, at, t in zip(first["k"], first["at"], first["text"], strict=True))
+        row = {"doc_id": first["doc_id"].iloc[0], "n_bytes": len(text.encode()), "n_tokens": machine.count(text)}
+        return pd.DataFrame([row] * int(first["times"].iloc[0]))
 
     schema = f"doc_id {kind}, n_bytes long, n_tokens long"
     sized = F.octet_length("text").cast("long").alias("n_bytes")
     counted = short.select("doc_id", "text", sized).mapInArrow(count_short, schema)
-    mapped = windows.select("doc_id", "h", "k", "text", sized).mapInPandas(map_chunks, f"doc_id {kind}, h long, k int, n_bytes long, head string, between long, tail string")
-    counted = counted.union(mapped.groupBy("doc_id", "h").applyInPandas(compose, schema))
+    of_map = f"doc_id {kind}, h long, n int, times long, k int, n_bytes long, map array<struct<enter: string, leave: string, n: long>>"
+    mapped = table(windows.select("doc_id", "h", "n", "times", "k", "at", "text").mapInPandas(map_chunks, of_map), "token-maps")
+    most = mapped.agg(F.max("k")).first()[0]
+    while most:  # neighbours by FAN, until one map is left of each text
+        mapped = table(mapped.groupBy("doc_id", "h", "n", F.floor(F.col("k") / FAN).alias("up")).applyInPandas(put_together, of_map), "token-maps")
+        most //= FAN
+    done = mapped.filter(F.size("map") > 0).withColumn("n_tokens", F.col("map")[0]["n"])
+    again = F.explode(F.sequence(F.lit(1).cast("long"), "times"))
+    odd = small(table(mapped.filter(F.size("map") == 0).select(F.struct("doc_id").alias("d"), "h", "n"), "token-maps-that-break"))
+    rest = windows.withColumn("d", F.struct("doc_id")).join(odd, ["d", "h", "n"], "left_semi").groupBy("doc_id", "h", "n").applyInPandas(count_whole, schema)
+    counted = counted.union(done.select("doc_id", "n_bytes", "n_tokens", again).select("doc_id", "n_bytes", "n_tokens")).union(rest)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
