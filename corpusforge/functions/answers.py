@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -95,7 +95,13 @@ def _boxed(t: pd.Series) -> pd.Series:
     return t.map(contents)
 
 
-boxed = F.pandas_udf(_boxed, ArrayType(StringType()))
+_boxed_udf = F.pandas_udf(_boxed, ArrayType(StringType()))
+
+
+def boxed(solution: str) -> Column:
+    """Contents of the balanced boxes of a column. A text without any has none, which the JVM sees; it goes to Python as null."""
+    t = F.col(solution)
+    return F.coalesce(_boxed_udf(F.when(t.contains("\\boxed{"), t)), F.array().cast("array<string>"))
 
 
 def option_letter(t: Column) -> Column:
@@ -203,6 +209,19 @@ def repaired_option(solution: Column, boxes: Column) -> Column:
     return F.coalesce(in_boxes, *english, *hindi, broad)
 
 
+def repaired_answer(answer: Column, solution: Column, kind: Column, boxes: Column) -> Column:
+    """The answer, or for a blank one what the solution concludes: a number for numerical questions, an option for others. As it was if nothing is found."""
+    found = F.when(kind == "numerical", repaired_number(solution, boxes)).otherwise(repaired_option(solution, boxes))
+    return F.when(trim(text(answer)) == "", F.coalesce(F.nullif(found, F.lit("")), answer)).otherwise(answer)
+
+
+def repair_report(df: DataFrame) -> DataFrame:
+    """By answer type: rows (answer, solution, answer_type, boxes) with a blank answer, and for how many one is found."""
+    blank = df.filter(trim(text(F.col("answer"))) == "")
+    found = trim(text(repaired_answer(F.lit(""), F.col("solution"), F.col("answer_type"), F.col("boxes")))) != ""
+    return blank.groupBy("answer_type").agg(F.count("*").alias("blank"), F.count_if(found).alias("extracted"), F.count_if(~found).alias("failed"))
+
+
 _CONCLUSION = (
     r"(?:final\s+answer|the\s+answer\s+is|answer\s+is|अंतिम\s+उत्तर|उत्तर\s+है|सही\s+उत्तर|सही\s+विकल्प|"
     r"correct\s+(?:options?|answers?))\s*[:\-=]?\s*(.{0,150})"

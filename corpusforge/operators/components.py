@@ -22,20 +22,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """``(node, component)`` for every node of an undirected edge table.
 
     The component is its smallest node. Each round contracts the edge table by a large
     and a small star and writes it to shared storage; the work ends when a round changes
-    nothing, and running out of rounds raises instead of returning partial labels. Only
-    two numbers a round reach the driver. Self loops and repeated edges are allowed; an
+    nothing, which the number of rounds, about the logarithm of the longest path, leads to
+    in any case. Only two numbers a round reach the driver. Self loops and repeated edges are allowed; an
     edge with a null end is ignored; a node in no edge (or only in self loops) is not
     returned, as its component is itself.
     """
     ends = edges.filter(F.col(src) != F.col(dst)).select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b"))
     edges = table(ends.distinct(), "edges")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
@@ -43,4 +43,3 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
             ).distinct()
         seen = now
         edges = table(_small_star(_large_star(edges)), "stars")
-    raise RuntimeError(f"components have not settled after {max_rounds} rounds")

@@ -13,12 +13,12 @@ from corpusforge.runtime import small, table
 
 
 def first_wins(df: DataFrame, key: Column, *order: str) -> DataFrame:
-    """Of the rows with an equal key, the first by ``order``. The smallest place of each key is
-    found by a partial aggregate, so a hot key is not gathered."""
-    place = F.struct(*order)
-    keyed = df.withColumn("__key", key)
-    first = keyed.groupBy("__key").agg(F.min(place).alias("__first"))
-    return keyed.join(first, "__key").filter(place == F.col("__first")).drop("__key", "__first")
+    """Of the rows with an equal key, the first by ``order``: one row a key, also of rows that repeat a place.
+
+    One aggregate, partial where the rows are, so that a hot key is not gathered; keep ``df`` narrow.
+    """
+    row = F.struct(*[F.col(c) for c in df.columns])
+    return df.groupBy(key.alias("__key")).agg(F.min_by(row, F.struct(*order)).alias("__row")).select("__row.*")
 
 
 def star_pairs(df: DataFrame, key: Column, ord_col: str) -> DataFrame:
@@ -63,10 +63,10 @@ def set_similarity_pairs(classes: DataFrame, threshold: float, measure: str = "j
     return both.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), sim.alias("sim")).filter(F.col("sim") >= threshold)
 
 
-def minhash_pairs(classes: DataFrame, threshold: float = 0.8, bands: int = 18, rows: int = 7) -> DataFrame:
+def minhash_pairs(classes: DataFrame, threshold: float = 0.8, bands: int = 25, rows: int = 5) -> DataFrame:
     """``(i, j, sim)``: pairs that agree on a whole band of MinHash values, verified by Jaccard.
 
-    18 bands of 7 rows find a pair of Jaccard 0.8 with probability 0.985 (9 of 13, the survey's reading: 0.40).
+    25 bands of 5 rows miss a pair of Jaccard 0.8 with probability 0.00005, and more similar ones less.
     """
     def least(s: int) -> Column:  # a lambda of two arguments would get the position as its second
         return F.array_min(F.transform("tokens", lambda t: F.xxhash64(F.lit(s), t)))
@@ -83,23 +83,45 @@ def minhash_pairs(classes: DataFrame, threshold: float = 0.8, bands: int = 18, r
     return both.filter(F.col("sim") >= threshold).select("i", "j", "sim")
 
 
-def accept_first(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Decisions on the ids of (j, i, state): in order, each is accepted unless an earlier neighbour is."""
+    state = {int(i): bool(x) for i, x in zip(pairs["i"], pairs["state"], strict=True) if x is not None and x == x}
+    earlier: dict[int, list[int]] = {}
+    for j, i in zip(pairs["j"], pairs["i"], strict=True):
+        earlier.setdefault(int(j), []).append(int(i))
+    for i in sorted({*earlier, *(int(x) for x in pairs["i"])}):
+        if i not in state:
+            state[i] = not any(state[x] for x in earlier.get(i, ()))
+    return pd.DataFrame({"id": list(state), "state": list(state.values())})
+
+
+def accept_first(nodes: DataFrame, edges: DataFrame, rest: int = 200_000) -> DataFrame:
     """``(id, accepted)``: each row in order is accepted unless it's linked to an accepted earlier one.
 
-    ``nodes``: id. ``edges``: i < j. In a round, rows without an undecided or accepted earlier
+    ``nodes``: id, whole numbers. ``edges``: i < j. In a round, rows without an undecided or accepted earlier
     neighbour are accepted and rows with an accepted one rejected; this gives what the loop in
-    order gives. Rows in no edge are accepted at once. Running out of rounds raises.
+    order gives. Every round decides some row, but a chain takes a round for each link; so once at
+    most ``rest`` edges lead to undecided rows, one task goes through these in order. Rows in no
+    edge are accepted at once.
     """
     edges = table(edges.select("i", "j").distinct(), "first-wins-edges")
-    open_ = table(edges.select(F.col("i").alias("id")).union(edges.select(F.col("j").alias("id"))).distinct().withColumn("state", F.lit(None).cast("boolean")), "first-wins")
-    state = open_
-    for _ in range(max_rounds):
-        earlier = edges.join(state.select(F.col("id").alias("i"), "state"), "i").groupBy(F.col("j").alias("id")).agg(F.bool_or(F.coalesce("state", F.lit(False))).alias("hit"), F.bool_or(F.col("state").isNull()).alias("wait"))
+    state = table(edges.select(F.col("i").alias("id")).union(edges.select(F.col("j").alias("id"))).distinct().withColumn("state", F.lit(None).cast("boolean")), "first-wins")
+    while True:
+        known = state.select(F.col("id").alias("i"), "state")
+        earlier = edges.join(known, "i").groupBy(F.col("j").alias("id")).agg(F.bool_or(F.coalesce("state", F.lit(False))).alias("hit"), F.bool_or(F.col("state").isNull()).alias("wait"))
         new = F.when(F.col("state").isNotNull(), F.col("state")).when(F.coalesce("hit", F.lit(False)), False).when(~F.coalesce("wait", F.lit(False)), True)
         state = table(state.join(earlier, "id", "left").select("id", new.alias("state")), "first-wins")
-        if state.filter("state is null").isEmpty():
-            return nodes.select("id").join(state, "id", "left").select("id", F.coalesce("state", F.lit(True)).alias("accepted"))
-    raise RuntimeError(f"rows are undecided after {max_rounds} rounds")
+        undecided = state.filter("state is null").select(F.col("id").alias("j"))
+        edges = table(edges.join(undecided, "j", "left_semi"), "first-wins-edges")
+        left = edges.count()
+        if left <= rest:
+            break
+    if left:
+        open_ = edges.join(state.select(F.col("id").alias("i"), "state"), "i").select("j", "i", "state")
+        found = open_.groupBy(F.lit(0).alias("one")).applyInPandas(lambda pairs: _greedy(pairs), "id long, state boolean")
+        found = table(found.join(undecided.withColumnRenamed("j", "id"), "id", "left_semi"), "first-wins")
+        state = state.filter("state is not null").unionByName(found)
+    return nodes.select("id").join(state, "id", "left").select("id", F.coalesce("state", F.lit(True)).alias("accepted"))
 
 
 def unit(v: Column) -> Column:
@@ -158,6 +180,12 @@ def label_pairs(*gates: DataFrame) -> DataFrame:
     return both.groupBy("i", "j").agg(F.max_by("label", "gate").alias("label"))
 
 
+def cleaner_edges(exact: DataFrame, close: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """``(i, j)`` with ``i < j``, each once: equal texts, and pairs (i, j, sim) of a first gate that are close enough to need no second one."""
+    both = exact.select("i", "j").union(close.filter(F.col("sim") >= threshold).select("i", "j"))
+    return both.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+
+
 def groups(pairs: DataFrame) -> DataFrame:
     """``(id, group_id)`` of all rows in a pair; a group is named by its smallest id."""
     return connected_components(pairs, "i", "j").withColumnRenamed("node", "id").withColumnRenamed("component", "group_id")

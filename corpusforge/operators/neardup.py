@@ -19,7 +19,7 @@ from corpusforge.sources.files import resolve
 @dataclass(frozen=True)
 class NearDupConfig:
     """Thresholds of the gates. ``folder``: where gates are kept for a run that resumes, else nowhere;
-    ``name`` tells its input from others there; ``fresh`` runs all gates again."""
+    its rows and ``name`` tell its input from others there; ``fresh`` runs all gates again."""
 
     semantic: float = 0.85
     confirmed: float = 0.60
@@ -41,11 +41,11 @@ class NearDups:
     removed_by: DataFrame  # confidence, removed
 
 
-def _gate(df: DataFrame, name: str, config: NearDupConfig) -> DataFrame:
-    """The gate's rows as a table: one of an earlier run with the same input name and thresholds, or a new one."""
+def _gate(df: DataFrame, name: str, config: NearDupConfig, rows: str = "") -> DataFrame:
+    """The gate's rows as a table: one of an earlier run with the same input rows, name and thresholds, or a new one."""
     if not config.folder:
         return table(df, name)
-    spark, known = df.sparkSession, {k: v for k, v in asdict(config).items() if k not in ("folder", "fresh")}
+    spark, known = df.sparkSession, {k: v for k, v in asdict(config).items() if k not in ("folder", "fresh")} | {"rows": rows}
     path = f"{config.folder.rstrip('/')}/{hashlib.sha256(repr(sorted(known.items())).encode()).hexdigest()[:16]}/{name}"
     try:
         there = not config.fresh and bool(resolve(spark, f"{path}/_SUCCESS"))
@@ -65,18 +65,21 @@ def near_duplicates(df: DataFrame, id_col: str, question: str, answer: str, firs
     config = config or NearDupConfig()
     rows = df.select(F.col(id_col).alias("id"), text(question).alias("q"), text(answer).alias("a"))
     key = F.md5(lower_collapsed(F.col("q")))
-    exact = _gate(dedup.star_pairs(rows, key, "id"), "gate-1", config)
+    # What the rows are, whatever their order: their number and sums of their hashes.
+    seen = rows.agg(F.count("*"), *[F.sum(F.xxhash64(F.lit(k), "id", "q", "a").cast("decimal(38,0)")) for k in (0, 1)]).first() if config.folder else ()
+    given = ":".join(map(str, seen))
+    exact = _gate(dedup.star_pairs(rows, key, "id"), "gate-1", config, given)
     single = rows.join(exact.select(F.col("j").alias("id")), "id", "left_anti")
 
-    embedded = _gate(embed(single, "id", "q", first), "vectors", config)  # a table, since it is read more than once
+    embedded = _gate(embed(single, "id", "q", first), "vectors", config, given)  # a table, since it is read more than once
     found = dedup.cosine_pairs(embedded, "id", "embedding", config.semantic, across_only=config.across_only)
-    close = _gate(found, "gate-2", config)
+    close = _gate(found, "gate-2", config, given)
 
     of = lambda s: rows.select(F.col("id").alias(s), F.array_distinct(words(F.lower("q"))).alias(f"w{s}"))
     a, b = F.col("wi"), F.col("wj")
     both_empty = (F.size(a) == 0) & (F.size(b) == 0)
     shared = close.select("i", "j").join(of("i"), "i").join(of("j"), "j").select("i", "j", F.when(both_empty, 1.0).otherwise(jaccard(a, b)).alias("sim"))
-    tiers = _gate(dedup.tiers(shared, config.confirmed, config.borderline), "gate-3", config)
+    tiers = _gate(dedup.tiers(shared, config.confirmed, config.borderline), "gate-3", config, given)
     gates = [
         exact.withColumn("label", F.lit(dedup.CONFIDENCE[0])),
         tiers.filter("tier = 'confirmed'").select("i", "j", F.lit(dedup.CONFIDENCE[2]).alias("label")),
@@ -85,11 +88,11 @@ def near_duplicates(df: DataFrame, id_col: str, question: str, answer: str, firs
     if second is not None and not config.skip_second:
         between = tiers.filter("tier = 'borderline'").select("i", "j")
         ids = between.select(F.explode(F.array("i", "j")).alias("id")).distinct()
-        again = _gate(embed(rows.join(ids, "id"), "id", "q", second, batch=16), "second-vectors", config)
+        again = _gate(embed(rows.join(ids, "id"), "id", "q", second, batch=16), "second-vectors", config, given)
         vectors = again.select("id", dedup.unit(F.col("embedding")).alias("v"))
         pair = between.join(vectors.select(F.col("id").alias("i"), F.col("v").alias("x")), "i").join(vectors.select(F.col("id").alias("j"), F.col("v").alias("y")), "j")
         cosine = F.aggregate(F.zip_with("x", "y", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        gates.append(_gate(pair.filter(cosine >= config.second).select("i", "j", F.lit(dedup.CONFIDENCE[1]).alias("label")), "gate-4", config))
+        gates.append(_gate(pair.filter(cosine >= config.second).select("i", "j", F.lit(dedup.CONFIDENCE[1]).alias("label")), "gate-4", config, given))
 
     pairs = table(dedup.label_pairs(*gates), "near-pairs")
     members = table(dedup.groups(pairs), "near-members")
@@ -101,3 +104,17 @@ def near_duplicates(df: DataFrame, id_col: str, question: str, answer: str, firs
         F.round(F.coalesce(F.try_divide(F.col("removed") * 100.0, F.col("total")), F.lit(0.0)), 2).alias("reduction_pct"),
     )
     return NearDups(pairs, members, groups, summary, groups.groupBy("confidence").agg(gone.alias("removed")))
+
+
+def mapping(found: NearDups, dataset: str) -> DataFrame:
+    """One row ``line``: JSON of each group (group_id, keep, remove, size, confidence) and, as ``kind`` summary, of the totals.
+
+    A group's ids to remove are in one array, as long as the group.
+    """
+    members = found.members.join(found.groups.select("group_id", "keep", "size", "confidence"), "group_id")
+    gone = F.array_sort(F.collect_list(F.when(F.col("id") != F.col("keep"), F.col("id"))))
+    grouped = members.groupBy("group_id", "keep", "size", "confidence").agg(gone.alias("remove"))
+    lines = grouped.select(F.lit("group").alias("kind"), F.to_json(F.struct("group_id", "keep", "remove", "size", "confidence")).alias("line"))
+    by = found.removed_by.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("confidence", "removed")))).alias("removed_by_gate"))  # a row for each label at most
+    total = found.summary.crossJoin(F.broadcast(by)).select(F.lit("summary").alias("kind"), F.to_json(F.struct(F.lit(dataset).alias("dataset"), "total", "removed", "kept", "reduction_pct", "removed_by_gate")).alias("line"))
+    return total.union(lines)

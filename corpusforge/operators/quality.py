@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusforge.functions import answers as A
 from corpusforge.functions.text import text, trim, word_count
 from corpusforge.operators.shape import canonical_role
 
@@ -70,3 +71,10 @@ def issue_breakdown(issues: DataFrame) -> DataFrame:
     counted = issues.groupBy("issue").agg(F.count("*").alias("n"))
     share = F.round(F.col("n") * 100.0 / F.sum("n").over(W.partitionBy(F.lit(1))), 2)
     return counted.select("issue", "n", share.alias("pct"), (F.col("issue") == "valid").alias("ok"))
+
+
+def consistency(df: DataFrame) -> DataFrame:
+    """Rows (answer, solution, answer_type) with ``status``: no_solution, no_answer, matched or mismatched. Blank counts as none."""
+    ok = A.consistent(F.col("answer"), F.col("solution"), F.col("answer_type"))
+    none = lambda c: trim(text(c)) == ""
+    return df.withColumn("status", F.when(none("solution"), "no_solution").when(none("answer"), "no_answer").when(ok, "matched").otherwise("mismatched"))

@@ -24,8 +24,16 @@ def numeric(response: Column, gold: Column, tolerance: float = 0.01) -> Column:
 
 
 def by_type(kind: Column, response: Column, gold: Column) -> Column:
-    """1 or 0, by question type; 0 for an unknown type."""
-    ok = F.when(kind == "single_correct", single_correct(response, gold)).when(kind == "multi_correct", multi_correct(response, gold)).when(kind == "numerical", numeric(response, gold))
+    """1 or 0, by question type; 0 for an unknown type. The response's span is looked for once."""
+
+    def judged(span: Column) -> Column:
+        own, given = letters(span), F.upper(trim(text(gold)))
+        one = (F.char_length(own) == 1) & (own == given)
+        many = (own != "") & (own == characters(given))
+        number = close_to(to_float(last_number(span)), to_float(trim(text(gold))))
+        return F.when(kind == "single_correct", one).when(kind == "multi_correct", many).when(kind == "numerical", number)
+
+    ok = F.transform(F.array(A.final_span(response)), judged)[0]
     return F.coalesce(ok, F.lit(False)).cast("int")
 
 

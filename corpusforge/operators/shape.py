@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,46 @@ def conversation(question: Column, answer: Column, system: Column | None = None)
     return turns if system is None else F.concat(F.array(turn("system", system)), turns)
 
 
+def record(df: DataFrame, system: Column | None = None) -> DataFrame:
+    """``conversations, metadata`` of question-answer rows. A column that the table lacks, or a null in it, is ``unknown``
+    (no key concepts: none); the chunk's own id stands in for that of its source."""
+    have = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+    known = {"source": have("book_title"), "source_chunk_id": F.coalesce(have("source_chunk_id"), have("chunk_id"))}
+    known |= {c: have(c) for c in ("subject", "topic", "type", "difficulty", "level")}
+    concepts = F.coalesce("key_concepts", F.array().cast("array<string>")) if "key_concepts" in df.columns else F.array().cast("array<string>")
+    about = F.struct(*[F.coalesce(v.cast("string"), F.lit("unknown")).alias(k) for k, v in known.items()], concepts.alias("key_concepts"))
+    return df.select(conversation(F.col("question"), F.col("answer"), system).alias("conversations"), about.alias("metadata"))
+
+
+@dataclass(frozen=True)
+class ChatTemplate:
+    """How turns are written: what comes first of all, and before and after each role's text. A role that isn't named is written as ``other``."""
+
+    begin: str
+    roles: dict[str, tuple[str, str]]
+    other: tuple[str, str] = ("", "\n")
+
+
+#: The turn marks of an open model family.
+TURN_MARKS = ChatTemplate(
+    "<bos>", {r: (f"<start_of_turn>{r}\n", "<end_of_turn>\n") for r in ("system", "user")} | {"assistant": ("<start_of_turn>model\n", "<end_of_turn>\n")}
+)
+
+
+def rendered(turns: Column, template: ChatTemplate = TURN_MARKS) -> Column:
+    """Turns as one training text, without the mark of the beginning, which the tokenizer puts in front itself."""
+
+    def one(t: Column) -> Column:
+        role, (before, after) = canonical_role(t["from"]), template.other
+        out = F.concat(F.lit(before), trim(text(t["value"])), F.lit(after))
+        for name, (before, after) in template.roles.items():
+            out = F.when(role == name, F.concat(F.lit(before), trim(text(t["value"])), F.lit(after))).otherwise(out)
+        return out
+
+    whole = F.concat(F.lit(template.begin), F.array_join(F.transform(turns, one), ""))
+    return F.when(whole.startswith(template.begin), F.substring(whole, F.lit(len(template.begin) + 1), F.char_length(whole))).otherwise(whole)
+
+
 def canonical_role(role: Column) -> Column:
     low = F.lower(role)
     return F.when(low.isin(*USER_ROLES), "user").when(low.isin(*ASSISTANT_ROLES), "assistant").otherwise(low)
@@ -117,6 +159,18 @@ def exam_row(paper: Column, number: Column, subject_: Column, kind: Column) -> l
     ]
 
 
+def paper_rows(papers: DataFrame, language: str = "Hindi", exam: str = "jee_advanced") -> DataFrame:
+    """One flat row for each question of nested papers (paper, year, language, source_file, questions)."""
+    q = papers.select("paper", "year", F.coalesce("language", F.lit(language)).alias("language"), "source_file", F.posexplode("questions").alias("place", "q"))
+    number = F.coalesce(F.col("q.question_number").cast("string"), F.lit("?"))
+    options = F.transform(F.coalesce("q.options", F.array().cast(q.schema["q"].dataType["options"].dataType)), lambda o: trim(text(o["text"])))
+    row = exam_row(F.col("paper").cast("string"), number, F.col("q.subject"), F.col("q.question_type"))
+    return q.select(
+        text("q.question_text").alias("question"), *row, options.alias("options"), "language", F.array().cast("array<string>").alias("diagram_paths"),
+        "source_file", "paper", "year", F.lit(exam).alias("exam"), F.lit("").alias("answer"), "place",
+    )
+
+
 TYPE_HINT = {
     "single_correct": "\nPick exactly ONE option. Respond with one capital letter (A/B/C/D).",
     "multi_correct": "\nOne or more options are correct. Respond with sorted concatenated letters (e.g. 'AC').",

@@ -90,13 +90,25 @@ TASKS = {
 }
 
 
-def load(spark: SparkSession, task: str, *candidates: str) -> DataFrame:
-    """Samples of a task from the first of the paths that exists: Parquet, JSON lines, or a JSON array (``.json``)."""
+def load(spark: SparkSession, task: str, *candidates: str, examples: DataFrame | None = None) -> DataFrame:
+    """Samples of a task from the first of the paths that exists: Parquet, JSON lines, or a JSON array (``.json``).
+
+    A task with shots takes them from ``examples`` (its other split, read as records), in the order of their input.
+    """
     t, path = TASKS[task], resolve(spark, *candidates)
     reader = spark.read.schema(t.schema)
-    if path.rstrip("/").endswith(".parquet"):
-        return t.samples(reader.parquet(path))
-    return t.samples(reader.option("multiLine", path.endswith(".json")).json(path))
+    rows = reader.parquet(path) if path.rstrip("/").endswith(".parquet") else reader.option("multiLine", path.endswith(".json")).json(path)
+    found = t.samples(rows)
+    return found if examples is None else with_shots(found, t.samples(examples), t.shots, "input")
+
+
+def with_shots(samples: DataFrame, examples: DataFrame, shots: int, *order: str) -> DataFrame:
+    """Samples whose ``input`` has the first ``shots`` examples (input, target) in front, each with its target and a blank line after it."""
+    if not shots:
+        return samples
+    first = examples.orderBy(*order).limit(shots).select(F.struct(*order).alias("at"), F.concat("input", F.lit(" "), F.col("target").cast("string"), F.lit("\n\n")).alias("shown"))
+    shown = first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "shown"))), lambda x: x["shown"]), "").alias("__shown"))  # one row
+    return samples.crossJoin(F.broadcast(shown)).withColumn("input", F.concat("__shown", "input")).drop("__shown")
 
 
 def select(names: list[str], only: list[str] | None = None, skip: list[str] | None = None) -> list[str]:

@@ -124,12 +124,29 @@ def containment_pairs(spark, sf):
     return D.set_similarity_pairs(_word_classes(spark, sf)[1], 0.9, "containment").select("i", "j")
 
 
-@query()
+@query(f"WITH {_WORD_SETS} SELECT i, j FROM shared WHERE k::DOUBLE / (na + nb - k) >= 0.8")
 def minhash_pairs(spark, sf):
+    """Pairs that the bands find, against all pairs: the SQL's rows are there but for a chance of 0.00005 each."""
     return D.minhash_pairs(_word_classes(spark, sf)[1], 0.8).select("i", "j")
 
 
-@query()
+_SEMANTIC = f"""t AS (SELECT doc_id, list_filter(string_split({_sql_semantic('text')}, ' '), lambda w: w <> '') AS w, {_sql_hash_normal('text')} AS h FROM documents),
+g AS (SELECT doc_id, h, list_sort(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' ')),
+  list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i + 2], ' '))))) AS s FROM t),
+sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(s) > 0 THEN s ELSE [chr(10) || h] END AS s FROM g),
+classes AS MATERIALIZED (SELECT min(doc_id) AS c, s, len(s) AS n FROM sets GROUP BY s),
+posts AS MATERIALIZED (SELECT c, n, unnest(s) AS w FROM classes),
+edges AS MATERIALIZED (SELECT a.c AS i, b.c AS j FROM posts a JOIN posts b ON a.w = b.w AND a.c < b.c GROUP BY a.c, b.c
+  HAVING count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.8 OR count(*)::DOUBLE / least(any_value(a.n), any_value(b.n)) >= 0.9)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_SEMANTIC}, late AS MATERIALIZED (SELECT j, list(i) AS earlier, row_number() OVER (ORDER BY j) AS k FROM edges GROUP BY j),
+walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone UNION ALL
+  SELECT late.k, CASE WHEN len(list_filter(earlier, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, j) ELSE gone END FROM walk JOIN late ON late.k = walk.k + 1),
+rejected AS (SELECT unnest(gone) AS c FROM (SELECT gone FROM walk ORDER BY k DESC LIMIT 1))
+SELECT doc_id, doc_id = classes.c AND classes.c NOT IN (SELECT c FROM rejected) AS accepted FROM sets JOIN classes USING (s)"""
+)
 def first_wins_near_dedup(spark, sf):
     """Duplicates have a Jaccard of 0.8 or a containment of 0.9 of their semantic shingles; texts without any are only compared as a whole."""
     shingles = T.shingles(F.col("text"))
@@ -514,82 +531,147 @@ def grouped_accuracy(spark, sf):
     return score.accuracy(scored, "score", "l_returnflag", "kind")
 
 
-@query()
+@query(
+    """WITH i AS (SELECT l_orderkey, l_linenumber, (l_quantity::INT + l_linenumber) AS n FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE n % 5 WHEN 0 THEN n::VARCHAR WHEN 1 THEN (n % 4 + 1)::VARCHAR WHEN 2 THEN n || '/7' WHEN 3 THEN n || '.5' END AS number,
+  CASE n % 5 WHEN 1 THEN substr('ABCD', n % 4 + 1, 1) WHEN 2 THEN 'A' WHEN 3 THEN CASE WHEN n % 10 = 3 THEN 'C' END WHEN 4 THEN substr('DCBA', n % 4 + 1, 1) END AS option FROM i"""
+)
 def answer_repair(spark, sf):
-    """Answers repaired from boxed and phrased solutions made of line items."""
-    boxed_ = F.concat(F.lit("Thus \\boxed{x = "), "n", F.lit("\\text{ cm}} and \\boxed{\\frac{1}{2} = y}"))
-    solutions = _responses(spark, sf).select("l_orderkey", "l_linenumber", F.when(F.col("n") % 2 == 0, boxed_).otherwise(F.concat(F.lit("The correct answer is option ("), F.col("n") % 4 + 1, F.lit(")"))).alias("solution"))
-    boxes = solutions.withColumn("boxes", A.boxed("solution"))
+    """Answers repaired from solutions made of line items: units in boxes, phrases, fractions, anchors, and refusals with a boxed option."""
+    n = F.col("n")
+    solution = (
+        F.when(n % 5 == 0, F.concat(F.lit("Thus \\boxed{x = "), "n", F.lit("\\text{ cm}} and \\boxed{\\frac{1}{2} = y}")))
+        .when(n % 5 == 1, F.concat(F.lit("The correct answer is option ("), n % 4 + 1, F.lit(")")))
+        .when(n % 5 == 2, F.concat(F.lit("\\boxed{a=b=1} so \\boxed{\\frac{"), "n", F.lit("}{7}}")))
+        .when(n % 5 == 3, F.concat(F.lit("First 3, then 4.\n**Final Answer**: $"), "n", F.lit(".5$")))
+        .otherwise(F.concat(F.lit("The question is incomplete, but \\boxed{\\text{("), F.substring(F.lit("dcba"), n % 4 + 1, F.lit(1)), F.lit(")}} fits 12.")))
+    )
+    boxes = _responses(spark, sf).select("l_orderkey", "l_linenumber", solution.alias("solution")).withColumn("boxes", A.boxed("solution"))
     return boxes.select("l_orderkey", "l_linenumber", A.repaired_number(F.col("solution"), F.col("boxes")).alias("number"), A.repaired_option(F.col("solution"), F.col("boxes")).alias("option"))
 
 
-@query()
+@query(
+    f"""{_RESPONSES} SELECT CASE k WHEN 0 THEN 'mcq_single' WHEN 1 THEN 'mcq_multi' WHEN 2 THEN 'numerical' ELSE 'subjective' END AS answer_type,
+  CASE WHEN k = 3 AND n % 8 = 3 THEN 'no_solution' WHEN k = 3 AND n % 16 = 7 THEN 'no_answer' WHEN l_linenumber % 2 = 0 OR k = 3 AND l_linenumber % 3 = 0 THEN 'matched' ELSE 'mismatched' END AS status, count(*) AS n
+FROM s GROUP BY ALL"""
+)
 def consistency_report(spark, sf):
     """Match statuses by answer type: matched, mismatched, no_answer, no_solution."""
-    kind = F.when(F.col("kind") == "single_correct", "mcq_single").when(F.col("kind") == "multi_correct", "mcq_multi").otherwise("numerical")
-    rows = _responses(spark, sf).select(kind.alias("answer_type"), F.col("gold").alias("answer"), F.concat(F.lit("the answer is "), "value").alias("solution"))
-    ok = A.consistent(F.col("answer"), F.col("solution"), F.col("answer_type"))
-    status = F.when(T.text("solution") == "", "no_solution").when(T.text("answer") == "", "no_answer").when(ok, "matched").otherwise("mismatched")
-    return rows.groupBy("answer_type", status.alias("status")).agg(F.count("*").alias("n"))
+    n, line = F.col("n"), F.col("l_linenumber")
+    kind = F.get(F.array(*map(F.lit, ("mcq_single", "mcq_multi", "numerical", "subjective"))), n % 4)
+    gold = F.when(n % 4 < 2, F.col("gold")).when(n % 4 == 2, F.concat(n + line % 2, F.lit(".0"))).when(n % 16 == 7, " ").otherwise(F.when((line % 2 == 0) | (line % 3 == 0), "Vernier").otherwise("screw"))
+    solution = F.when(n % 4 < 2, F.concat(F.lit("the answer is "), "value")).when(n % 4 == 2, F.concat(F.lit("so x ≈ "), "n", F.lit(" in all"))).when(n % 8 == 3, " ").otherwise("Read off the VERNIER scale.")
+    rows = _responses(spark, sf).select(kind.alias("answer_type"), gold.alias("answer"), solution.alias("solution"))
+    return quality.consistency(rows).groupBy("answer_type", "status").agg(F.count("*").alias("n"))
 
 
 # Rewards
 
 
+_HINDI = "यह एक लंबा प्रश्न है जिसका उत्तर देना है"
+
+
 def _completions(spark, sf) -> DataFrame:
-    subject = F.get(F.array(*map(F.lit, ("Physics", "chemistry", "maths", "biology", "art"))), (F.col("doc_id") % 5).cast("int"))
-    response = F.concat(F.lit("Step 1. m = 2 kg\n"), "text", F.lit("\nHence the mean is 4\n<answer>"), F.col("doc_id") % 3, F.lit("</answer>"))
-    return _docs(spark, sf).select("doc_id", F.lit("").alias("prompt"), response.alias("response"), (F.col("doc_id") % 2).cast("string").alias("gold"), subject.alias("subject"))
+    """Whole texts within four kinds of responses: a step and an answer; an empty tag; steps in Hindi and no tag; an answer before the step."""
+    kind, doc = F.col("doc_id") % 4, F.col("doc_id")
+    subject = F.get(F.array(*map(F.lit, ("Physics", "chemistry", "maths", "biology", "art"))), (doc % 5).cast("int"))
+    tag = F.concat(F.lit("<answer>"), doc % 3, F.lit("</answer>"))
+    response = (
+        F.when(kind == 0, F.concat(F.lit("Step 1. m = 2 kg\n"), "text", F.lit("\nHence the mean is 4\n"), tag))
+        .when(kind == 1, F.concat("text", F.lit("\n<answer> </answer>")))
+        .when(kind == 2, F.concat(F.repeat(F.lit(f"Step 1. {_HINDI}\n"), (doc % 40).cast("int")), "text"))
+        .otherwise(F.concat(F.lit("Final answer: 1\n"), "text", F.lit("\nStep 1 since E = 2 V, thus cell\n"), tag))
+    )
+    prompt = F.when(doc % 3 > 0, _HINDI).otherwise("")
+    return _docs(spark, sf).select("doc_id", prompt.alias("prompt"), response.alias("response"), (doc % 2).cast("string").alias("gold"), subject.alias("subject"))
+
+
+_COMPLETIONS = f"""WITH c AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Step 1. m = 2 kg' || chr(10) || text || chr(10) || 'Hence the mean is 4' || chr(10) || '<answer>' || (doc_id % 3) || '</answer>'
+  WHEN 1 THEN text || chr(10) || '<answer> </answer>' WHEN 2 THEN repeat('Step 1. {_HINDI}' || chr(10), doc_id % 40) || text
+  ELSE 'Final answer: 1' || chr(10) || text || chr(10) || 'Step 1 since E = 2 V, thus cell' || chr(10) || '<answer>' || (doc_id % 3) || '</answer>' END AS r, doc_id % 3 AS a, doc_id % 2 AS g, doc_id % 4 AS v,
+  doc_id % 3 > 0 AS hindi, ['Physics', 'chemistry', 'maths', 'biology', 'art'][doc_id % 5 + 1] AS subject FROM documents)"""
+_STEPS = r"Step\s*\p{Nd}|चरण\s*\p{Nd}|पद\s*\p{Nd}"
+_REWARDS = {
+    "correctness": "CASE WHEN v IN (0, 3) AND a = g THEN 2.0 ELSE 0.0 END",
+    "format": rf"""round(CASE WHEN regexp_matches(body, '{_STEPS}|\p{{Nd}}+[.)]\s') THEN 0.15 ELSE 0 END + CASE WHEN regexp_matches(body, '[=+\-×÷^]|\\frac|\\int|_\{{|\bmod\b') THEN 0.10 ELSE 0 END
+  + CASE WHEN v IN (0, 3) THEN 0.10 ELSE 0 END, 4)""",
+    "reasoning": rf"""round(greatest(least(CASE WHEN steps >= 5 THEN 0.2 WHEN steps >= 3 THEN 0.15 WHEN steps >= 1 THEN 0.05 ELSE 0 END
+  + CASE WHEN regexp_matches(r, '[=×÷∫∑√∞∂±]|\\frac|\\int|\\sum|[a-zA-Z]\^|[a-zA-Z]_[0-9]') THEN 0.10 ELSE 0 END + CASE WHEN links >= 2 THEN 0.10 WHEN links >= 1 THEN 0.05 ELSE 0 END
+  - CASE WHEN instr(lower(r), 'step') > 0 AND instr(lower(r), 'final answer') > 0 AND instr(lower(r), 'final answer') < instr(lower(r), 'step') THEN 0.10 ELSE 0 END, 0.5), 0), 4)""",
+    "repetition": """CASE WHEN len(ls) < 2 OR length(tr) < 10 THEN 0 ELSE round(0.2 - CASE WHEN len(list_distinct(ls)) / len(ls) < 0.6 THEN 0.1 ELSE 0 END
+  - CASE WHEN len(list_distinct(grams)) / greatest(len(grams), 1) < 0.5 THEN 0.1 ELSE 0 END, 4) END""",
+    "subject": "CASE lower(subject) " + " ".join(
+        f"WHEN '{name}' THEN " + " + ".join(f"CASE WHEN regexp_matches(r, '{p}') THEN 0.1 ELSE 0 END" for p in patterns)
+        for name, patterns in (("physics", score.SUBJECT_TERMS[0][1:]), ("chemistry", score.SUBJECT_TERMS[1][1:]), ("maths", score.SUBJECT_TERMS[2][1:]), ("biology", score.SUBJECT_TERMS[3][1:]))
+    ) + " ELSE 0 END",
+    "hindi": """CASE WHEN NOT hindi THEN 0 ELSE round(CASE WHEN share >= 0.5 THEN 0.15 WHEN share >= 0.2 THEN 0.10 WHEN share >= 0.05 THEN 0.03 ELSE 0 END
+  + CASE WHEN marks >= 5 THEN 0.10 WHEN marks >= 2 THEN 0.05 ELSE 0 END, 4) END""",
+}
+_REWARDED = rf"""{_COMPLETIONS}, p AS (SELECT *, list_filter(list_transform(string_split(r, chr(10)), lambda x: {_sql_trim('x')}), lambda x: x <> '') AS ls, {_sql_words('r')} AS w, {_sql_trim('r')} AS tr,
+  CASE WHEN contains(r, '<answer>') THEN left(r, (instr(r, '<answer>') - 1)::INT) ELSE r END AS body,
+  greatest(len(regexp_extract_all(r, '{_STEPS}')), len(regexp_extract_all(r, '(?m)^\s*\p{{Nd}}+[.)]\s'))) AS steps, len(regexp_extract_all(r, '(?i)because|therefore|hence|thus|since')) AS links,
+  len(regexp_extract_all(r, '[\x{{0900}}-\x{{097F}}]')) / length({_sql_trim('r')}) AS share, len(regexp_extract_all(r, '{score.HINDI_MARKERS}')) AS marks FROM c),
+q AS (SELECT *, list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i + 2], ' ')) AS grams FROM p),
+f AS (SELECT doc_id, {", ".join(f"({x})::DOUBLE AS reward_{k}" for k, x in _REWARDS.items())} FROM q)"""
+
+
+def _reward(name: str) -> None:
+    def run(spark, sf):
+        make, args = score.REWARDS[name]
+        return _completions(spark, sf).select("doc_id", make(*map(F.col, args)).alias("reward"))
+
+    run.__name__ = f"reward_{name}"
+    query(f"{_REWARDED} SELECT doc_id, reward_{name} AS reward FROM f")(run)
 
 
-_COMPLETIONS = """WITH c AS (SELECT doc_id, 'Step 1. m = 2 kg' || chr(10) || text || chr(10) || 'Hence the mean is 4' || chr(10) || '<answer>' || (doc_id % 3) || '</answer>' AS r, doc_id % 3 AS a, doc_id % 2 AS g,
-  ['Physics', 'chemistry', 'maths', 'biology', 'art'][doc_id % 5 + 1] AS subject FROM documents)"""
+for _name in score.REWARDS:
+    _reward(_name)
 
 
-@query(f"{_COMPLETIONS} SELECT doc_id, CASE WHEN a = g THEN 2.0 ELSE 0.0 END::DOUBLE AS reward FROM c")
-def reward_correctness(spark, sf):
-    return _completions(spark, sf).select("doc_id", score.correctness_reward(F.col("response"), F.col("gold")).alias("reward"))
+@query(f"{_REWARDED} SELECT *, round({' + '.join(f'reward_{k}' for k in _REWARDS)}, 4) AS reward_total FROM f")
+def reward_total(spark, sf):
+    return score.with_rewards(_completions(spark, sf)).select("doc_id", *[f"reward_{k}" for k in score.REWARDS], "reward_total")
 
 
-@query(f"{_COMPLETIONS} SELECT doc_id, 0.35::DOUBLE AS reward FROM c")
-def reward_format(spark, sf):
-    return _completions(spark, sf).select("doc_id", score.format_reward(F.col("response")).alias("reward"))
+# Sequences
 
 
-@query(
-    f"""{_COMPLETIONS} SELECT doc_id, round(CASE WHEN s >= 5 THEN 0.2 WHEN s >= 3 THEN 0.15 WHEN s >= 1 THEN 0.05 ELSE 0 END + 0.10 + CASE WHEN l >= 2 THEN 0.10 WHEN l >= 1 THEN 0.05 ELSE 0 END, 4)::DOUBLE AS reward
-FROM (SELECT doc_id, greatest(len(regexp_extract_all(r, 'Step\\s*\\p{{Nd}}')), len(regexp_extract_all(r, '(?m)^\\s*\\p{{Nd}}+[.)]\\s'))) AS s, len(regexp_extract_all(r, '(?i)because|therefore|hence|thus|since')) AS l FROM c)"""
-)
-def reward_reasoning(spark, sf):
-    return _completions(spark, sf).select("doc_id", score.reasoning_reward(F.col("response")).alias("reward"))
+_PACKS = f"""lengths AS (SELECT doc_id, text, len({_sql_words('text')}) AS n FROM documents),
+r AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id) AS k FROM lengths WHERE n > 0),
+packs AS (SELECT k, doc_id, n, n AS used, 0::BIGINT AS pack FROM r WHERE k = 1 UNION ALL
+  SELECT r.k, r.doc_id, r.n, CASE WHEN used + r.n > 4096 THEN r.n ELSE used + r.n END, pack + (used + r.n > 4096)::INT FROM packs JOIN r ON r.k = packs.k + 1)"""
 
 
-@query(
-    f"""{_COMPLETIONS}, p AS (SELECT doc_id, list_filter(list_transform(string_split(r, chr(10)), lambda x: {_sql_trim('x')}), lambda x: x <> '') AS ls, {_sql_words('r')} AS w FROM c),
-q AS (SELECT doc_id, ls, list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i + 2], ' ')) AS t FROM p)
-SELECT doc_id, round(0.2 - CASE WHEN len(list_distinct(ls)) / len(ls) < 0.6 THEN 0.1 ELSE 0 END - CASE WHEN len(list_distinct(t)) / greatest(len(t), 1) < 0.5 THEN 0.1 ELSE 0 END, 4)::DOUBLE AS reward FROM q"""
-)
-def reward_repetition(spark, sf):
-    return _completions(spark, sf).select("doc_id", score.repetition_reward(F.col("response")).alias("reward"))
+def _packs(spark, sf) -> DataFrame:
+    lengths = sequence.token_lengths(_docs(spark, sf), "doc_id", "text")
+    return sequence.pack(lengths, "id", "n", 4096)
 
 
-@query()
-def reward_total(spark, sf):
-    return score.with_rewards(_completions(spark, sf)).select("doc_id", *[f"reward_{k}" for k in score.REWARDS], "reward_total")
+@query(f"WITH RECURSIVE {_PACKS} SELECT doc_id, pack, n FROM packs")
+def pack_sequences(spark, sf):
+    return _packs(spark, sf).select(F.col("ord").alias("doc_id"), "pack", "n")
 
 
-# Sequences
+@query(f"WITH RECURSIVE {_PACKS} SELECT pack, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens, md5(string_agg(text, '' ORDER BY doc_id)) AS text_md5 FROM packs JOIN documents USING (doc_id) GROUP BY pack")
+def packed_texts(spark, sf):
+    found = sequence.packed_texts(_packs(spark, sf), _docs(spark, sf), "doc_id", "text")
+    return found.select("pack", F.col("rows").alias("n_docs"), F.col("n").alias("n_tokens"), F.md5("text").alias("text_md5"))
 
 
-@query()
-def pack_sequences(spark, sf):
-    lengths = _docs(spark, sf).select("doc_id", T.word_count(F.col("text")).alias("n"))
-    return sequence.pack(lengths, F.pmod(F.xxhash64("doc_id"), F.lit(8)), "doc_id", "n", 4096)
+@query(f"SELECT doc_id, len({_sql_words('text')})::BIGINT AS n_tokens FROM documents")
+def token_lengths(spark, sf):
+    return sequence.token_lengths(_docs(spark, sf), "doc_id", "text").select(F.col("id").alias("doc_id"), F.col("n").alias("n_tokens"))
 
 
-@query()
+@query(
+    """WITH t AS (SELECT conv_id, turn, turn + 1 AS asked, turn % 3 + 1 AS said FROM conversations),
+e AS (SELECT *, sum(asked + said + 4) OVER (PARTITION BY conv_id ORDER BY turn) AS stop FROM t), b AS (SELECT *, stop - said - 2 AS mark FROM e)
+SELECT conv_id, least(64, max(stop))::INT AS n_ids, coalesce(sum(least(stop, 64) - mark) FILTER (mark + 2 <= 64), 0)::INT AS n_trainable FROM b GROUP BY conv_id"""
+)
 def loss_mask(spark, sf):
-    ids = F.concat(F.array(F.lit(1), F.lit(2)), F.sequence(F.lit(10), F.lit(10) + F.col("turn").cast("int")), F.array(F.lit(3), F.lit(4)))
+    """Turns of an instruction marker and tokens, a response marker and tokens; labels from a response marker to the next instruction marker."""
+    turn = F.col("turn").cast("int")
+    ids = F.concat(F.array(F.lit(1), F.lit(2)), F.sequence(F.lit(10), F.lit(10) + turn), F.array(F.lit(3), F.lit(4)), F.sequence(F.lit(1000), F.lit(1000) + turn % 3))
     rows = _read(spark, sf, "conversations").groupBy("conv_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", ids.alias("x")))), lambda t: t["x"])).alias("ids"))
     masked = rows.select("conv_id", sequence.loss_mask(F.col("ids"), [3, 4], [1, 2], 64).alias("m"))
     return masked.select("conv_id", F.size("m.input_ids").alias("n_ids"), sequence.trainable(F.col("m.labels")).alias("n_trainable"))

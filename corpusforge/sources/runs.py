@@ -31,3 +31,21 @@ def write_run(root: str, run_id: str, config: dict, results: DataFrame, samples:
 def merged(results: DataFrame) -> DataFrame:
     """Of each task and metric the value of the last phase."""
     return results.groupBy("task", "metric").agg(F.max_by("value", "phase").alias("value"))
+
+
+def write_checkpoint(items: DataFrame, path: str, key: str, record: str, failed: str = "failed") -> None:
+    """Append finished items: (key, status, record), where the status is ``ok`` for rows with a record and ``failed`` else."""
+    status = F.when(F.col(record).isNull(), failed).otherwise("ok")
+    items.select(F.col(key).cast("string").alias("key"), status.alias("status"), F.col(record).alias("record")).write.mode("append").parquet(path)
+
+
+def checkpoint(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each item that was ever written: key, status and record; an ``ok`` one wins, so writing again changes nothing."""
+    rows = spark.read.parquet(path)
+    best = F.max_by(F.struct("status", "record"), F.col("status") == "ok").alias("x")
+    return rows.groupBy("key").agg(best).select("key", "x.status", "x.record")
+
+
+def resumable(found: DataFrame) -> DataFrame:
+    """One row: how many items are done, and how many failed."""
+    return found.agg(F.count_if(F.col("status") == "ok").alias("done"), F.count_if(F.col("status") != "ok").alias("failed"))

@@ -1,11 +1,14 @@
 """Properties of operators against plain loops."""
 
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusforge.operators import dedup, quality, sampling, sequence
 from corpusforge.operators.components import connected_components
+from corpusforge.runtime import parted, scratch, small, table
 
 
 def test_components_are_the_transitive_closure(spark):
@@ -26,16 +29,59 @@ def test_components_are_the_transitive_closure(spark):
     assert connected_components(spark.createDataFrame([], "i long, j long"), "i", "j").count() == 0
 
 
-def test_first_wins_is_the_loop_in_order(spark):
+@pytest.mark.parametrize("rest", [0, 20, 1000])
+def test_first_wins_is_the_loop_in_order(spark, rest):
     r = random.Random(7)
-    edges = {tuple(sorted(r.sample(range(80), 2))) for _ in range(120)}
+    edges = {tuple(sorted(r.sample(range(80), 2))) for _ in range(120)} | {(i, i + 1) for i in range(100, 109)}
     accepted = []
-    for x in range(80):
+    for x in range(110):
         if not any((a, x) in edges for a in accepted):
             accepted.append(x)
-    nodes = spark.range(80)
-    got = dedup.accept_first(nodes, spark.createDataFrame(sorted(edges), "i long, j long")).filter("accepted").collect()
+    got = dedup.accept_first(spark.range(110), spark.createDataFrame(sorted(edges), "i long, j long"), rest).filter("accepted").collect()
     assert sorted(x["id"] for x in got) == accepted
+    assert dedup.accept_first(spark.range(3), spark.createDataFrame([], "i long, j long")).filter("accepted").count() == 3
+
+
+def test_first_wins_of_a_long_chain(spark):
+    edges = spark.range(5000).select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"))
+    got = dedup.accept_first(spark.range(5001), edges).filter("accepted")
+    assert sorted(x["id"] for x in got.collect()) == list(range(0, 5001, 2))
+
+
+def test_first_wins_leaves_one_row_a_key(spark):
+    rows = [(1, "a", "x"), (0, "a", "y"), (0, "b", None), (2, None, "z"), (1, None, "w"), (0, "a", "y")]
+    got = dedup.first_wins(spark.createDataFrame(rows, "n long, k string, v string"), F.col("k"), "n").collect()
+    assert sorted(tuple(x) for x in got if x["k"]) == [(0, "a", "y"), (0, "b", None)] and [x["v"] for x in got if x["k"] is None] == ["w"]
+
+
+def test_positions(spark):
+    df = spark.range(300).select(((F.col("id") * 37) % 101).alias("a"), "id").repartition(7)
+    got = [(x["a"], x["id"]) for x in sampling.numbered(df, "a", "id").orderBy("position").collect()]
+    assert got == sorted(got) and len(got) == 300
+    assert [x["position"] for x in sampling.numbered(df, "a", "id").orderBy("position").collect()] == list(range(300))
+    assert sampling.numbered(df.limit(0), "a", "id").count() == 0
+
+
+def test_rows_parted_by_a_bit_map(spark):
+    keys = table(spark.range(0, 3000, 3).select(F.xxhash64("id").alias("h")), "keys")
+    maybe, no = parted(spark.range(3000), F.xxhash64("id"), keys)
+    held = {x["id"] for x in maybe.collect()}
+    assert held >= set(range(0, 3000, 3)) and len(held) < 1300 and held | {x["id"] for x in no.collect()} == set(range(3000)) and maybe.columns == no.columns == ["id"]
+    assert parted(spark.range(5), F.col("id"), keys.limit(0))[1].count() == 5
+
+
+def test_tables_of_a_scope_are_removed(spark, tmp_path):
+    with scratch(spark):
+        inside = table(spark.range(3), "inside")
+        folder = inside.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+        assert os.path.isdir(folder)
+    assert not os.path.exists(folder)
+
+
+def test_broadcasts_are_bounded_in_bytes(spark):
+    hinted = lambda df, **k: "broadcast" in small(df, **k)._jdf.queryExecution().logical().toString().lower()
+    rows = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("t"), F.array(F.lit("y")).alias("a"))
+    assert hinted(rows) and not hinted(rows, size=50_000) and not hinted(rows, rows=99)
 
 
 def test_set_similarity_is_all_pairs(spark):
@@ -57,10 +103,27 @@ def test_samples_do_not_depend_on_partitions(spark):
     assert sampling.sample_n(df, 0, "id").count() == 0
 
 
-def test_packs(spark):
-    df = spark.createDataFrame([(i, n) for i, n in enumerate([5, 5, 3, 20, 1, 1, 9, 10])], "id long, n long")
-    got = [x["pack"] for x in sequence.pack(df, F.lit(0), "id", "n", 10).orderBy("ord").collect()]
-    assert got == [0, 0, 1, 2, 3, 3, 4, 5]
+def packs_in_order(sizes, limit):
+    packs, used, number = [], 0, -1
+    for n in sizes:
+        if number < 0 or used + n > limit:
+            number, used = number + 1, 0
+        used += n
+        packs.append(number)
+    return packs
+
+
+@pytest.mark.parametrize("shard_rows", [1, 3, 7, 1000])
+def test_packs(spark, shard_rows):
+    r = random.Random(shard_rows)
+    sizes = [5, 5, 3, 20, 1, 1, 9, 10, 30, 2] + [r.choice((1, 2, 3, 9, 10, 11, 40)) for _ in range(60)]
+    df = spark.createDataFrame([(i * 3, n) for i, n in enumerate(sizes)] + [(1, 0), (7, None)], "id long, n long")
+    got = sequence.pack(df, "id", "n", 10, shard_rows).orderBy("ord").collect()
+    assert [(x["ord"], x["n"], x["pack"]) for x in got] == [(i * 3, n, p) for i, (n, p) in enumerate(zip(sizes, packs_in_order(sizes, 10), strict=True))]
+    assert sequence.pack(df.limit(0), "id", "n", 10).count() == 0
+    texts = spark.createDataFrame([(i * 3, f"<{i}>") for i in range(len(sizes))], "id long, t string")
+    joined = {x["pack"]: x["text"] for x in sequence.packed_texts(sequence.pack(df, "id", "n", 10, shard_rows), texts, "id", "t").collect()}
+    assert joined == {p: "".join(f"<{i}>" for i, q in enumerate(packs_in_order(sizes, 10)) if q == p) for p in range(max(joined) + 1)}
 
 
 def test_loss_mask_includes_the_marker(spark):
