@@ -10,16 +10,20 @@ Lines that differ in one replaced word (of any length) can count as near copies
 number of words is the same, they agree on the first or the second half of their words, so
 two more keys of each line find all of them.
 
-A posting list of more than ``tile`` lines is not joined row by row. Its lines are dealt
-out as pairs of tiles, and each pair of tiles is verified inside one bounded group, of
-which only the later lines of close pairs come out. So nothing grows with the square of
-a list but comparisons, and no task holds a whole list.
+A posting list of more than ``tile`` lines is not joined as it is. Without the segment that
+they share, two lines of it are still within ``edits`` edits, so what remains of them is
+cut into segments again, and so on, until lists are short or next to nothing is left to
+cut; then all lines of a list are close to the first of them, and only that pair is verified.
+So pairs, too, grow with the lines of a list and not with their square.
 
 DataFrame functions only.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,6 +88,15 @@ def edit_distance(left: Column, right: Column, edits: int) -> Column:
     return F.transform(F.array(pair), over)[0]
 
 
+def _may_be_close(left: Column, right: Column, edits: int) -> Column:
+    """False only if the distance is over ``edits``: of twice as many pieces as segments, at most one an edit is not in the longer line."""
+    longer = F.char_length(left) >= F.char_length(right)
+    a, b = F.when(longer, left).otherwise(right), F.when(longer, right).otherwise(left)
+    pieces = segments(F.char_length(b), 2 * edits + 1)
+    lacks = [F.when(F.contains(a, F.substring(b, x + 1, n)), 0).otherwise(1) for x, n in pieces]
+    return reduce(lambda x, y: x + y, lacks) <= edits
+
+
 def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
     """(begin, characters) of the segments of a line, the later ones longer by one where it doesn't divide."""
     parts = edits + 1
@@ -92,36 +105,48 @@ def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
     return [(F.lit(i) * short + F.greatest(F.lit(0), F.lit(i) - first_long), short + F.when(F.lit(i) >= first_long, 1).otherwise(0)) for i in range(parts)]
 
 
-def index_and_probe_keys(line: Column, length: Column, edits: int) -> tuple[list[Column], list[Column]]:
-    """Hashes under which a line is indexed, and the further ones with which it probes.
+@dataclass(frozen=True)
+class Cut:
+    """A segment: which one of lines of which size, where it begins in the line at hand, and its characters."""
+
+    size: Column
+    number: int
+    begin: Column
+    chars: Column
+    inside: Column | None = None
+
+    def key(self, line: Column, *above: Column) -> Column:
+        found = F.xxhash64(*above, self.size, F.lit(self.number), F.substring(line, self.begin + 1, self.chars))
+        return found if self.inside is None else F.when(self.inside, found)
+
+    def rest(self, line: Column) -> Column:
+        return F.concat(F.substring(line, F.lit(1), self.begin), F.substring(line, self.begin + self.chars + 1, F.char_length(line)))
+
+
+def cuts(length: Column, edits: int) -> tuple[list[Cut], list[Cut]]:
+    """Segments under which a line of a length is indexed, and the further substrings with which it probes.
 
     It probes lines of its own length and of up to ``edits`` characters less. A substring
     begins where the segment does, up to as many places off as edits may have come before
     it, and leaves as many as may come after it. Probes with the segments themselves are
     the same as the index keys and not repeated.
     """
-
-    def key(size: Column, i: int, begin: Column, chars: Column) -> Column:
-        return F.xxhash64(size, F.lit(i), F.substring(line, begin + 1, chars))
-
-    index = [key(length, i, a, n) for i, (a, n) in enumerate(segments(length, edits))]
+    index = [Cut(length, i, a, n) for i, (a, n) in enumerate(segments(length, edits))]
     probes = []
     for less in range(edits + 1):
         size = length - less
         for i, (a, n) in enumerate(segments(size, edits)):
             low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
-            for shift in range(low, high + 1):
-                if less or shift:
-                    inside = (a + shift >= 0) & (a + shift + n <= length)
-                    probes.append(F.when(inside, key(size, i, a + shift, n)))
+            probes += [Cut(size, i, a + shift, n, (a + shift >= 0) & (a + shift + n <= length)) for shift in range(low, high + 1) if less or shift]
     return index, probes
 
 
-def word_keys(line: Column) -> list[Column]:
-    """Hashes of the halves of a line's words, with their number: of two lines that differ in one word, one is equal."""
+def halves(line: Column, *above: Column) -> list[tuple[Column, Column]]:
+    """(hash, other words) of each half of a line's words: of two lines that differ in one word, one hash is equal."""
     words = F.split(line, " ")
     half = F.floor(F.size(words) / 2).cast("int")
-    return [F.xxhash64(F.lit(f"words {i}"), F.size(words), F.slice(words, a, n)) for i, (a, n) in enumerate(((F.lit(1), half), (half + 1, F.size(words) - half)))]
+    first, second = F.slice(words, F.lit(1), half), F.slice(words, half + 1, F.size(words) - half)
+    return [(F.xxhash64(*above, F.lit(f"words {i}"), F.size(words), own), F.array_join(other, " ")) for i, (own, other) in enumerate(((first, second), (second, first)))]
 
 
 def one_word_replaced(left: Column, right: Column) -> Column:
@@ -133,51 +158,89 @@ def _lines(rows: DataFrame) -> DataFrame:
     return rows.select(*_DOC, "doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line")).filter(F.trim("line") != "").withColumn("id", F.unhex(F.md5("line")))
 
 
+def _hot_pairs(held: DataFrame, edits: int, tile: int) -> DataFrame:
+    """``(a, b)`` of lines that may be close, from long lists: (k, id, place, words, index, r).
+
+    ``r`` is what remains of a line without what all lines of the list share; ``index`` tells the
+    lines that are indexed from those that probe.
+    """
+    pairs = []
+    length = F.when(F.col("words"), F.size(F.split("r", " "))).otherwise(F.char_length("r"))
+    while True:
+        lists = table(held.filter("index").groupBy("k", "words").agg(F.count("*").alias("n"), F.max(length).alias("left")), "segment-lists")
+        done = (F.col("left") <= edits) | (F.col("words") & (F.col("left") <= 1))
+        of = lambda which: held.join(small(table(lists.filter(which).select("k"), "lists")), "k", "left_semi")  # noqa: E731, B023
+        short, ended = of(F.col("n") <= tile), of((F.col("n") > tile) & done)
+
+        meet = short.filter("index").select("k", F.col("id").alias("a")).join(short.filter("not index").select("k", F.col("id").alias("b")), "k").filter("a <> b")
+        pairs.append(table(meet.select("a", "b").distinct(), "line-pairs"))
+
+        # Lines of one length that agree on all but so little are all close to the first of them.
+        here, probing = ended.filter("index"), ended.filter("not index")
+        first = table(here.groupBy("k").agg(F.min(F.struct("place", "id")).alias("f")).select("k", F.col("f.id").alias("b")), "first-lines")
+        pairs.append(here.select("k", F.col("id").alias("a")).join(small(first), "k").select("a", "b").filter("a <> b").distinct())
+        others = probing.join(here.select("k", "id"), ["k", "id"], "left_anti").select("k", F.col("id").alias("b"), F.col("r").alias("ry"))
+        near = here.select("k", F.col("id").alias("a"), F.col("r").alias("rx")).join(others, "k").filter(F.levenshtein("rx", "ry", edits) >= 0)
+        pairs.append(table(near.select("a", "b").distinct(), "line-pairs"))
+
+        more = of((F.col("n") > tile) & ~done)
+        r, k = F.col("r"), F.col("k")
+        index, probes = cuts(F.char_length("r"), edits)
+        child = lambda key, rest: F.struct(key.alias("k"), rest.alias("r"))
+        own, further = ([child(c.key(r, k), c.rest(r)) for c in part] for part in (index, probes))
+        children = F.when(F.col("words"), F.array(*[child(*h) for h in halves(r, k)])).when(F.col("index"), F.array(*own)).otherwise(F.array(*own, *further))
+        held = more.select("id", "place", "words", "index", F.explode(children).alias("c")).select("c.k", "id", "place", "words", "index", "c.r").filter("k is not null")
+        held = table(held.distinct(), "segments")
+        if held.isEmpty():
+            return reduce(DataFrame.union, pairs)
+
+
 def repeated_lines(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, tile: int = TILE, min_words: int | None = None) -> DataFrame:
     """``r1, r2, ln, near`` of the lines to drop from ``rows`` (r1, r2, doc_id, text)."""
     lines = _lines(rows).withColumn("n", F.char_length("line"))
-    long = F.col("n") >= max(min_chars, edits + 1)
-    index, probes = index_and_probe_keys(F.col("line"), F.col("n"), edits)
-    if min_words is not None:
-        wordy = F.size(F.split("line", " ")) >= min_words
-        index += [F.when(wordy, k) for k in word_keys(F.col("line"))]
-    names = [f"i{x}" for x in range(len(index))], [f"p{x}" for x in range(len(probes))]
-    keyed = lines.select("id", F.struct("doc_id", *_DOC, "ln").alias("place"), *(F.when(long, c).alias(k) for k, c in zip(sum(names, []), index + probes, strict=True)))
-    distinct = keyed.groupBy("id").agg(F.min("place").alias("place"), F.count("*").alias("times"), *(F.min(k).alias(k) for k in sum(names, [])))
+    line, long = F.col("line"), F.col("n") >= max(min_chars, edits + 1)
+    index, probes = cuts(F.col("n"), edits)
+    wordy = F.size(F.split("line", " ")) >= F.lit(min_words)
+    by_words = [] if min_words is None else [F.when(wordy, k) for k, _ in halves(line)]
+    keys = [c.key(line) for c in index] + by_words + [c.key(line) for c in probes]
+    rests = [c.rest(line) for c in index] + [r for _, r in halves(line)[: len(by_words)]] + [c.rest(line) for c in probes]
+    names, n_index = [f"k{x}" for x in range(len(keys))], len(index) + len(by_words)
+    keyed = lines.select("id", F.struct("doc_id", *_DOC, "ln").alias("place"), *(F.when(long, c).alias(k) for k, c in zip(names, keys, strict=True)))
+    distinct = keyed.groupBy("id").agg(F.min("place").alias("place"), F.count("*").alias("times"), *(F.min(k).alias(k) for k in names))
     distinct = table(distinct, "distinct-lines")
 
-    def keys(of: list[str]) -> DataFrame:
-        return distinct.select("id", F.explode(F.array(*of)).alias("k")).filter("k is not null").distinct()
-
-    indexed, probing = keys(names[0]), keys(sum(names, []))
-    hot = table(indexed.groupBy("k").count().filter(F.col("count") > tile), "hot-segments")
-    cold_index, cold_probing = (x.join(small(hot.select("k")), "k", "left_anti") for x in (indexed, probing))
-    meet = cold_index.select("k", F.col("id").alias("a")).join(cold_probing.select("k", F.col("id").alias("b")), "k").filter("a != b")
-    pairs = table(meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
+    def listed(of: list[str]) -> DataFrame:
+        return distinct.select("id", F.posexplode(F.array(*of)).alias("j", "k")).filter("k is not null")
 
-    # A line of a hot list goes to every pair of tiles that has its own.
-    dealt = probing.join(small(hot), "k").withColumn("m", F.ceil(F.col("count") / tile).cast("int")).withColumn("own", F.pmod(F.xxhash64("id", "k"), F.col("m")).cast("int"))
-    both = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
-    dealt = table(dealt.select("k", "id", F.explode(both).alias("t")).select("k", "t.i", "t.j", "id"), "dealt-lines")
+    indexed, probing = listed(names[:n_index]), listed(names)
+    hot = table(indexed.groupBy("k").agg(F.count_distinct("id").alias("n")).filter(F.col("n") > tile).select("k"), "hot-segments")
+    cold_index, cold_probing = (x.join(small(hot), "k", "left_anti").select("id", "k").distinct() for x in (indexed, probing))
+    meet = cold_index.select("k", F.col("id").alias("a")).join(cold_probing.select("k", F.col("id").alias("b")), "k").filter("a <> b")
+    pair = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    cold = table(pair(meet), "line-pairs")
+    in_hot = table(probing.join(small(hot), "k", "left_semi"), "lines-of-hot-segments")
 
-    wanted = table(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(dealt.select("id")).distinct(), "lines-to-verify")
+    wanted = table(cold.select(F.col("a").alias("id")).union(cold.select(F.col("b").alias("id"))).union(in_hot.select("id")).distinct(), "lines-to-verify")
     texts = lines.select("id", *_DOC, "doc_id", "ln", "line").join(small(wanted), "id").groupBy("id").agg(F.min(F.struct("doc_id", *_DOC, "ln", "line")).alias("x"))
     texts = table(texts.select("id", F.struct("x.doc_id", "x.r1", "x.r2", "x.ln").alias("place"), "x.line"), "lines-verified")
 
-    def near(a: Column, b: Column) -> Column:
-        by_edits = F.levenshtein(a["line"], b["line"], edits) >= 0
-        return by_edits if min_words is None else by_edits | ((F.size(a["ws"]) >= min_words) & one_word_replaced(a["ws"], b["ws"]))
+    pairs = cold
+    if not in_hot.isEmpty():
+        rest = F.coalesce(*[F.when(F.col("j") == x, r) for x, r in enumerate(rests)])
+        of_words = F.col("j").between(len(index), n_index - 1)
+        held = in_hot.join(texts, "id").withColumn("n", F.char_length("line")).select("k", "id", "place", of_words.alias("words"), rest.alias("r"), "j")
+        probed = held.select("k", "id", "place", "words", F.lit(False).alias("index"), "r")
+        held = probed.union(held.filter(F.col("j") < n_index).select("k", "id", "place", "words", F.lit(True).alias("index"), "r"))
+        pairs = table(pair(cold.union(_hot_pairs(table(held.distinct(), "segments"), edits, tile))), "line-pairs")
 
     side = lambda s: texts.select(F.col("id").alias(s), F.col("place").alias(f"place_{s}"), F.col("line").alias(f"line_{s}"))
-    alike = edit_distance(F.col("line_a"), F.col("line_b"), edits) <= edits
+    left, right = F.col("line_a"), F.col("line_b")
+    alike = _may_be_close(left, right, edits) & (edit_distance(left, right, edits) <= edits)
     if min_words is not None:
         ws_a, ws_b = F.split("line_a", " "), F.split("line_b", " ")
         alike = ((F.size(ws_a) >= min_words) & one_word_replaced(ws_a, ws_b)) | alike
     close = pairs.join(side("a"), "a").join(side("b"), "b").filter(alike)
-    later = close.select(F.when(F.col("place_a") > F.col("place_b"), F.col("a")).otherwise(F.col("b")).alias("id"))
-    tiles = dealt.join(texts, "id").groupBy("k", "i", "j").agg(F.collect_list(F.struct("place", "id", "line", *([] if min_words is None else [F.split("line", " ").alias("ws")]))).alias("g"))
-    later_in = F.filter("g", lambda x: F.exists("g", lambda y: (y["place"] < x["place"]) & near(x, y)))
-    later = later.union(tiles.select(F.explode(F.transform(later_in, lambda x: x["id"])).alias("id"))).distinct().withColumn("near", F.lit(True))
+    later = close.select(F.when(F.col("place_a") > F.col("place_b"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct().withColumn("near", F.lit(True))
 
     concerned = distinct.select("id", "place", "times").join(later, "id", "left").filter("times > 1 or near")
     concerned = table(concerned.select("id", F.col("place").alias("kept"), F.coalesce("near", F.lit(False)).alias("near")), "repeated-lines")

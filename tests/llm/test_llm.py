@@ -366,3 +366,15 @@ def test_url_branches_below_the_fourth_segment(spark):
     paths = [f"/2021/{i % 12}/{i % 28}/news/{('spam', 'local', 'world')[i % 3]}/x{i}/y/z" for i in range(900)]
     got = judged_urls(spark, paths, [int(i % 3 == 0) for i in range(900)])
     assert [got[i]["verdict"] for i in range(900)] == ["allow" if i % 3 else "block" for i in range(900)]
+
+
+@pytest.mark.parametrize(("k", "tile", "words"), [(1, 3, None), (2, 2, None), (1, 2, 4)])
+def test_families_of_lines_in_long_lists(spark, k, tile, words):
+    r = random.Random(k + tile)
+    texts = [f"{a}{r.choice('xyz')}{b}{r.choice(('', 'q'))}" for a in ("abcabcabcabcab", "the quick brown fox ") for b in (" jumps over it", "0000000000") for _ in range(25)]
+    texts += [f"line of number {i} here" for i in range(40)] + ["aaaaaaaaaaaaaaaaaaaa" + "a" * (i % 4) for i in range(8)] + [f"{'ab' * 8}{c}{d}" for c in "abcdef" for d in "abcdef"]
+    r.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(line_dedup.line_dedup(docs, edits=k, min_chars=12, tile=tile, min_words=words))
+    want = brute.without_lines(texts, k, 12, words)
+    assert [(got[i]["text"], got[i]["line_dedup"]["n_exact"], got[i]["line_dedup"]["n_near"]) for i in range(len(texts))] == want
