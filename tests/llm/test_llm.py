@@ -310,13 +310,46 @@ def test_held_out_accuracy(spark):
     assert held.filter("lang = lang_pred").count() >= 0.95 * held.count() > 0
 
 
+def brute_licenses(text):
+    """Dice of all passages, and of all runs of words in lines, with all templates."""
+
+    def best(passage):
+        grams = set(licenses.bigrams_of(passage))
+        found = [(2 * len(grams & own) / (len(grams) + len(own)), t.license) for t in licenses.TEMPLATES if grams and (own := set(licenses.bigrams_of(t.text)))]
+        return max((x for x in found if x[0] >= 0.8), default=None)
+
+    normal = "\n".join(" ".join(re.findall("[a-z0-9]+", x)) for x in re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split("\n"))
+    lines = normal.split("\n")
+    passages = {" ".join(p.split()) for p in [*lines, *re.split("\n\n+", normal), normal]}
+    matched = {p: best(p) for p in passages if best(p)}
+    notices = []
+    for line in {x for x in lines if x not in matched}:
+        w = line.split(" ")
+        runs = [w[i : i + k] for k in licenses.notice_lengths(licenses.TEMPLATES) if k < len(w) for i in range(len(w) - k + 1)]
+        found = [b for r in runs if any(re.fullmatch(licenses.LICENCE_WORD, x) for x in r) and (b := best(" ".join(r)))]
+        notices += [max(found)] if found else []
+    both = [*matched.values(), *notices]
+    top = max(both, default=(None, None))
+    return len(passages), len(both), ",".join(sorted({x[1] for x in both})), top[1], top[0]
+
+
 def test_licenses(spark):
-    full = licenses._MIT
-    texts = [None, "", "Released under the MIT license", "prose\nLicensed under CC BY-NC 4.0.\nmore", full, f"intro\n\n{full}\n\noutro", full.replace("Software", "Library"), "nothing of the kind here"]
-    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, matches string")
-    got = by_id(licenses.digests(licenses.license_scan(docs)))
-    assert [got[i]["best_license"] for i in range(8)] == [None, None, "MIT", "CC-BY-NC-4.0", "MIT", "MIT", got[6]["best_license"], None]
-    assert got[4]["best_dice"] == 1.0
+    full, bsd = licenses._MIT, licenses._BSD_GRANT + licenses._BSD_NAMES + licenses._BSD_END
+    commented = "\n".join(f"# {x}".rstrip() for x in licenses._GNU.format("program", "General Public", "3").split("\n"))
+    texts = [
+        None, "", "Released under the MIT license", "prose\nLicensed under CC BY-NC 4.0.\nmore", full, f"intro\n\n{full}\n\noutro", "word " * 3000 + "\n\n" + bsd, f"#!/bin/sh\n#\n{commented}\n#\necho x",
+        "nothing of the kind here", "You can use it freely, it is released under the MIT License. So do.", "Copyright 2020 X. All rights reserved.", full.replace("Software", "Library"),
+        "a licence " * 30, "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS", "this and that with general terms of free use\n" * 3,
+    ]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in [*enumerate(texts), (2, texts[2]), (None, texts[3])]], "doc_id long, text string, matches string, t string")
+    rows = licenses.digests(licenses.license_scan(docs)).collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert len(rows) == len(docs.collect()) and [r["best_license"] for r in rows if r["doc_id"] in (2, None)] .count("MIT") == 2 and got[None]["best_license"] == "CC-BY-NC-4.0"
+    for i, t in enumerate(texts):
+        n, m, names, best, dice = brute_licenses(t)
+        assert (got[i]["n_passages"], got[i]["n_matches"], got[i]["licenses"], got[i]["best_license"]) == (n, m, names, best), t
+        assert dice is None or abs(got[i]["best_dice"] - dice) < 1e-6
+    assert [got[i]["best_license"] for i in (4, 5, 6, 7, 9, 10, 13)] == ["MIT", "MIT", "BSD-3-Clause", "GPL-3.0", "MIT", "All-Rights-Reserved", "Apache-2.0"]
     for n in (4, 9, 150):
         low, high = licenses.size_bounds(n)
         for m in range(1, 4 * n):
@@ -324,6 +357,14 @@ def test_licenses(spark):
     assert licenses.license_scan(docs.limit(0)).count() == 0
 
 
+def test_a_match_has_a_telling_word():
+    words = licenses.telling_words(licenses.TEMPLATES)
+    for t in licenses.TEMPLATES:
+        grams = licenses.bigrams_of(t.text)
+        without = sum(not set(g.split()) & set(words) for g in grams)
+        assert without < len(grams) * 0.8 / 1.2
+
+
 def test_url_rules(spark):
     urls_ = [None, "no scheme", "http://EXAMPLE.org/es/a?x#y", "http://a.example.org/en/12", "http://org/x", "http://notorg/x", "http://x.com/fr/", "http://x.com/de/1", "http://x.org", "a://h?q/z", "http://x.com/de"]
     want = [("", "", None), ("", "", None), ("example.org", "/es/a", "example.org/es/"), ("a.example.org", "/en/12", "example.org/en/1"), ("org", "/x", "org/"), ("notorg", "/x", None),
