@@ -127,3 +127,79 @@ def languages(rows, learn_from):
         best = int(np.argmax(cosines))
         out.append((names[best], min(1.0, max(0.0, cosines[best]))))
     return out
+
+
+def url_parts(url):
+    if url is None or "://" not in url:
+        return "", ""
+    host, path = re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1], re.DOTALL).groups()
+    return low(host), path
+
+
+def url_templates(pages, labels, s):
+    """By page id: template and smoothed share of bad pages, from a tree that is walked node by node."""
+    shape = {i: re.sub("[0-9]+", "#", re.sub("(?i)[0-9a-f]{16,}", "#", url_parts(u)[1])) for i, u in pages}
+    host = {i: url_parts(u)[0] for i, u in pages}
+    leaves = {}
+    for i, _ in pages:
+        leaf = leaves.setdefault((host[i], shape[i]), {"t": shape[i].split("/"), "n": 0, "lab": 0, "bad": 0})
+        leaf["n"] += 1
+        leaf["lab"] += i in labels
+        leaf["bad"] += labels.get(i, 0)
+
+    def test(lab, bad, all_, all_bad, continuous):
+        rest = all_ - lab
+        if lab == 0 or rest == 0 or all_bad in (0, all_):
+            return None
+        p, per = all_bad / all_, 1 / lab + 1 / rest
+        gap = abs(bad / lab - (all_bad - bad) / rest)
+        gap = max(gap - per / 2, 0) if continuous else gap
+        return gap * gap / (p * (1 - p) * per)
+
+    def grouped(key, among=None):
+        out = {}
+        for (h, _), leaf in leaves.items():
+            if among is None or among(leaf):
+                g = out.setdefault((h, *key(leaf)), {"n": 0, "lab": 0, "bad": 0, "leaves": []})
+                for c in ("n", "lab", "bad"):
+                    g[c] += leaf[c]
+                g["leaves"].append(leaf)
+        return out
+
+    deepest = max((len(x["t"]) for x in leaves.values()), default=0)
+    for level in range(1, deepest):
+        children = grouped(lambda x: (tuple(x["t"][:level]), x["t"][level]), lambda x: len(x["t"]) > level)  # noqa: B023
+        nodes = {}
+        for (h, above, _), c in children.items():
+            nodes.setdefault((h, above), []).append(c)
+        for of in nodes.values():
+            if len(of) > s.children:
+                whole = {c: sum(x[c] for x in of) for c in ("n", "lab", "bad")}
+                for c in of:
+                    chi2 = test(c["lab"], c["bad"], whole["lab"], whole["bad"], True)
+                    if c["n"] < s.share * whole["n"] and not (c["lab"] >= s.apart and chi2 is not None and chi2 >= s.chi2):
+                        for leaf in c["leaves"]:
+                            leaf["new"] = [*leaf["t"][:level], "*", *leaf["t"][level + 1 :]]
+        for leaf in leaves.values():
+            leaf["t"] = leaf.pop("new", leaf["t"])
+    for level in range(deepest - 1, 0, -1):
+        branches = grouped(lambda x: (tuple(x["t"]),), lambda x: len(x["t"]) > level)  # noqa: B023
+        families = {}
+        for (h, t), b in branches.items():
+            families.setdefault((h, (*t[:level], "~", *t[level + 1 :])), []).append(b)
+        for (_, merged), of in families.items():
+            whole = {c: sum(x[c] for x in of) for c in ("lab", "bad")}
+            for b in of:
+                chi2 = test(b["lab"], b["bad"], whole["lab"], whole["bad"], False)
+                if len(of) > 1 and (chi2 is None or chi2 < s.chi2):
+                    for leaf in b["leaves"]:
+                        leaf["t"] = list(merged)
+    overall = sum(x["bad"] for x in leaves.values()) / max(sum(x["lab"] for x in leaves.values()), 1)
+    out = {}
+    for (h, t), g in grouped(lambda x: (tuple(x["t"]),)).items():
+        for leaf in g["leaves"]:
+            leaf["share"] = (g["bad"] + s.strength * overall) / (g["lab"] + s.strength)
+    for i, _ in pages:
+        leaf = leaves[host[i], shape[i]]
+        out[i] = "/".join(leaf["t"]), leaf["share"]
+    return out
