@@ -419,3 +419,13 @@ def test_families_of_lines_in_long_lists(spark, k, tile, words):
     got = by_id(line_dedup.line_dedup(docs, edits=k, min_chars=12, tile=tile, min_words=words))
     want = brute.without_lines(texts, k, 12, words)
     assert [(got[i]["text"], got[i]["line_dedup"]["n_exact"], got[i]["line_dedup"]["n_near"]) for i in range(len(texts))] == want
+
+
+def test_parse_trees_have_the_shape_that_queries_are_read_from():
+    tree = list(secrets.parser.parse(r"^(ab|c[d-e]?)x{2,}$"))
+    assert [str(op) for op, _ in tree] == ["AT", "SUBPATTERN", "MAX_REPEAT", "AT"]
+    ((op, (_, branches)),) = tree[1][1][-1]
+    assert str(op) == "BRANCH" and [[str(x) for x, _ in b] for b in branches] == [["LITERAL", "LITERAL"], ["LITERAL", "MAX_REPEAT"]]
+    low, high, inner = tree[2][1]
+    assert (low, str(high)) == (2, "MAXREPEAT") and str(list(inner)[0][0]) == "LITERAL"
+    assert secrets.trigram_query("abcd") == ("and", ("abc", "bcd")) and secrets.trigram_query("ab(cd|ef)g?") is not None and secrets.trigram_query("ab|cd") is None
