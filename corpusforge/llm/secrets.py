@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,11 +146,22 @@ class Scanner:
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = [(r, re.compile(r.pattern, re.ASCII | re.IGNORECASE if r.any_case else re.ASCII), trigram_query(r.pattern)) for r in rules]
         self.trigrams = sorted(set().union(*(_named(q) for _, _, q in self.rules)))
+        self.automaton = ahocorasick.Automaton()
+        for g in self.trigrams:
+            self.automaton.add_word(g, g)
+        self.automaton.make_automaton()
+
+    def postings(self, texts: list[str]) -> dict[str, set[int]]:
+        """The index of a shard: for each trigram that a query names, the rows that have it; each text is read once."""
+        found: dict[str, set[int]] = {g: set() for g in self.trigrams}
+        for i, t in enumerate(texts):
+            for g in {g for _, g in self.automaton.iter(t.lower())} if self.trigrams else ():
+                found[g].add(i)
+        return found
 
     def candidates(self, texts: list[str]) -> list[set[int] | range]:
         """By rule, the rows of a shard that its query leaves."""
-        lower = [t.lower() for t in texts]
-        postings = {g: {i for i, t in enumerate(lower) if g in t} for g in self.trigrams}
+        postings = self.postings(texts)
 
         def rows(query: Query) -> set[int]:
             if isinstance(query, str):

@@ -264,6 +264,8 @@ def test_secrets(spark):
 def test_queries_are_necessary():
     assert secrets.trigram_query("[0-9a-f]+") is None
     scanner = secrets.Scanner(secrets.RULES)
+    assert scanner.postings([t or "" for t in SECRETS]) == {g: {i for i, t in enumerate(SECRETS) if g in (t or "").lower()} for g in scanner.trigrams}
+    assert secrets.Scanner(secrets.RULES[2:3]).candidates(["x", ""]) == [range(2)]
     for (rule, pattern, _), rows in zip(scanner.rules, scanner.candidates([t or "" for t in SECRETS]), strict=True):
         assert {i for i, t in enumerate(SECRETS) if pattern.search(t or "")} <= set(rows), rule.kind
 
