@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -162,6 +166,55 @@ def cosine_pairs(vectors: DataFrame, id_col: str, vector_col: str, threshold: fl
     return dealt.groupBy("a", "b").applyInPandas(multiply, "i long, j long, sim double")
 
 
+def hyperplane_tables(threshold: float, rows: int, recall: float = 0.99) -> tuple[int, int]:
+    """(bits, tables) with which pairs at the threshold meet with probability ``recall`` and chance meetings grow with the rows only.
+
+    Two vectors at angle a are on the same side of a random plane with probability 1 - a / pi.
+    """
+    bits = min(48, max(2, math.ceil(math.log2(max(rows, 1) / 64 + 1))))
+    same = (1 - math.acos(min(max(threshold, -1.0), 1.0)) / math.pi) ** bits
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(same, 1 - 1e-9))))
+
+
+def cosine_pairs_by_planes(vectors: DataFrame, id_col: str, vector_col: str, threshold: float, recall: float = 0.99, across_only: int = 0, seed: int = 42) -> DataFrame:
+    """``(i, j, sim)`` with ``i < j`` of nearly all pairs that reach a cosine, without multiplying all with all.
+
+    Vectors on the same side of a table's random planes meet; those that meet are verified. A pair at the threshold is found with
+    probability ``recall``, closer ones with more. Equal vectors are one class: its rows are paired with its smallest id and
+    each other (they all reach the cosine), and only that meets the others'.
+    """
+    rows = vectors.select(F.col(id_col).alias("id"), unit(F.col(vector_col)).alias("v"))
+    rows = table(rows.withColumn("c", F.xxhash64("v")), "unit-vectors")
+    firsts = table(rows.groupBy("c", "v").agg(F.min("id").alias("rep")), "distinct-vectors")
+    n = firsts.count()
+    bits, tables = hyperplane_tables(threshold, n, recall)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, planes = 1 << np.arange(bits, dtype=np.int64), None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = np.array(b.column("v").to_pylist(), np.float64)
+            if planes is None:
+                planes = np.random.default_rng(seed).standard_normal((v.shape[1], tables * bits))
+            sides = (v @ planes > 0).reshape(len(v), tables, bits) @ weights
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(list(sides), pa.list_(pa.int64()))], ["rep", "keys"])
+
+    kind = firsts.schema["rep"].dataType.simpleString()
+    met = firsts.select("rep", "v").mapInArrow(keys, f"rep {kind}, keys array<long>").select("rep", F.posexplode("keys").alias("t", "key"))
+    pairs = met.select("t", "key", F.col("rep").alias("i")).join(met.select("t", "key", F.col("rep").alias("j")), ["t", "key"]).filter("i < j").select("i", "j").distinct()
+    side = lambda s: firsts.select(F.col("rep").alias(s), F.col("v").alias(f"v{s}"))
+    dot = F.aggregate(F.zip_with("vi", "vj", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    close = pairs.join(side("i"), "i").join(side("j"), "j").select("i", "j", dot.alias("sim")).filter(F.col("sim") >= threshold - 1e-12)
+    members = table(rows.join(firsts.select("c", "v", "rep"), ["c", "v"]).select("id", "rep"), "vector-classes")
+    of = lambda s: members.select(F.col("rep").alias(f"r{s}"), F.col("id").alias(s))
+    far = close.withColumnsRenamed({"i": "ri", "j": "rj"}).join(of("i"), "ri").join(of("j"), "rj").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "sim")
+    zero = firsts.filter(F.exists("v", lambda x: x != 0)).select("rep")
+    equal = of("i").join(zero.withColumnRenamed("rep", "ri"), "ri", "left_semi").join(of("j"), F.col("ri") == F.col("rj")).filter("i < j").select("i", "j", F.lit(1.0).alias("sim"))
+    both = far.union(equal)
+    return both.filter(F.floor(F.col("i") / across_only) != F.floor(F.col("j") / across_only)) if across_only else both
+
+
 def tiers(pairs: DataFrame, confirmed: float, borderline: float) -> DataFrame:
     """Pairs with ``tier``: confirmed, borderline or rejected by ``sim``."""
     return pairs.withColumn("tier", F.when(F.col("sim") >= confirmed, "confirmed").when(F.col("sim") >= borderline, "borderline").otherwise("rejected"))

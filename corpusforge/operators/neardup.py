@@ -19,13 +19,15 @@ from corpusforge.sources.files import resolve
 @dataclass(frozen=True)
 class NearDupConfig:
     """Thresholds of the gates. ``folder``: where gates are kept for a run that resumes, else nowhere;
-    its rows and ``name`` tell its input from others there; ``fresh`` runs all gates again."""
+    its rows and ``name`` tell its input from others there; ``fresh`` runs all gates again. ``all_pairs``: multiply all
+    first embeddings with all, by blocks, instead of those that random planes bring together (99 % of pairs at the threshold)."""
 
     semantic: float = 0.85
     confirmed: float = 0.60
     borderline: float = 0.50
     second: float = 0.88
     skip_second: bool = False
+    all_pairs: bool = False
     across_only: int = 0
     folder: str | None = None
     name: str = "input"
@@ -72,7 +74,8 @@ def near_duplicates(df: DataFrame, id_col: str, question: str, answer: str, firs
     single = rows.join(exact.select(F.col("j").alias("id")), "id", "left_anti")
 
     embedded = _gate(embed(single, "id", "q", first), "vectors", config, given)  # a table, since it is read more than once
-    found = dedup.cosine_pairs(embedded, "id", "embedding", config.semantic, across_only=config.across_only)
+    find = dedup.cosine_pairs if config.all_pairs else dedup.cosine_pairs_by_planes
+    found = find(embedded, "id", "embedding", config.semantic, across_only=config.across_only)
     close = _gate(found, "gate-2", config, given)
 
     of = lambda s: rows.select(F.col("id").alias(s), F.array_distinct(words(F.lower("q"))).alias(f"w{s}"))

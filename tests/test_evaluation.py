@@ -172,7 +172,7 @@ def test_near_duplicate_gates(spark, tmp_path):
     texts = [*base, base[0].upper(), base[0] + " x", base[1] + " y z", base[2] + " p q r s t u", None, "", "  ", base[3][:-4], base[4] + "\n" + base[4], base[5] + " " + " ".join(f"n{i}" for i in range(8))]
     rows = list(enumerate(texts))
     df = spark.createDataFrame([(i, t, "extra") for i, t in rows], "k LONG, t STRING, id STRING")
-    c = neardup.NearDupConfig(semantic=0.6, second=0.7, folder=str(tmp_path))
+    c = neardup.NearDupConfig(semantic=0.6, second=0.7, folder=str(tmp_path), all_pairs=True)
     found = neardup.near_duplicates(df, "k", "t", "t", word_embedder, lambda: word_embedder(512, 1), c)
     wanted = _gates_by_hand(rows, c)
     assert {r.group_id: (r.keep, r["size"], r.confidence) for r in found.groups.collect()} == wanted

@@ -1,8 +1,10 @@
 """Properties of operators against plain loops."""
 
+import math
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,3 +162,27 @@ def test_minhash_recall_near_the_threshold(spark):
     exact = {(r["i"], r["j"]) for r in dedup.set_similarity_pairs(classes, 0.8).collect()}
     found = {(r["i"], r["j"]) for r in dedup.minhash_pairs(classes, 0.8).collect()}
     assert len(exact) == 60 and found <= exact and len(found) >= 0.9 * len(exact)
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.85])
+def test_recall_of_random_planes(spark, threshold):
+    r = np.random.default_rng(5)
+    base = r.standard_normal((120, 32))
+    noise = r.standard_normal((4, 120, 32)) * np.array([0.3, 0.5, 0.8, 1.1])[:, None, None]
+    v = np.concatenate([base, *(base + n for n in noise), base[:5], np.zeros((2, 32))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").repartition(3)
+    exact = {(x["i"], x["j"]) for x in dedup.cosine_pairs(df, "id", "v", threshold).collect()}
+    rows = dedup.cosine_pairs_by_planes(df, "id", "v", threshold).collect()
+    found = {(x["i"], x["j"]) for x in rows}
+    assert len(rows) == len(found) and found <= exact and len(found) >= 0.97 * len(exact) > 100
+    assert {(i, 600 + i) for i in range(5)} <= found
+    assert dedup.cosine_pairs_by_planes(df.limit(0), "id", "v", threshold).count() == 0
+    apart = {(x["i"], x["j"]) for x in dedup.cosine_pairs_by_planes(df, "id", "v", threshold, across_only=120).collect()}
+    assert apart == {(i, j) for i, j in found if i // 120 != j // 120}
+
+
+def test_planes_grow_with_rows():
+    assert dedup.hyperplane_tables(0.85, 10**3)[0] < dedup.hyperplane_tables(0.85, 10**6)[0] < dedup.hyperplane_tables(0.85, 10**9)[0]
+    for n in (10, 10**4, 10**9):
+        bits, tables = dedup.hyperplane_tables(0.85, n)
+        assert 1 - (1 - (1 - math.acos(0.85) / math.pi) ** bits) ** tables >= 0.99
