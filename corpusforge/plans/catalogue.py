@@ -244,6 +244,7 @@ def turn_validity(spark, sf):
 
 @query(_turn_sql("(conv_id * 7 + turn) % 5 <> 1"))
 def turn_validity_broken(spark, sf):
+    """The linter on conversations that lack turns: the made ones are all in order, so every fifth turn is left out to break them."""
     return quality.turn_issues(_read(spark, sf, "conversations").filter("(conv_id * 7 + turn) % 5 <> 1"), "conv_id", "turn", "role")
 
 
@@ -263,9 +264,9 @@ def last_assistant(spark, sf):
     return convs.select("conv_id", F.md5(shape.last_assistant(F.col("messages"))).alias("answer_md5"))
 
 
-@query("SELECT item_id, 0 AS pos, 'human' AS who, 'Q' || item_id AS value FROM benchmark UNION ALL SELECT item_id, 1, 'gpt', left(text, 40) FROM benchmark")
+@query("SELECT item_id, 0 AS pos, 'human' AS who, 'Q' || item_id AS value FROM benchmark UNION ALL SELECT item_id, 1, 'gpt', text FROM benchmark")
 def to_conversation(spark, sf):
-    convs = _read(spark, sf, "benchmark").select("item_id", F.posexplode(shape.conversation(F.concat(F.lit("Q"), "item_id"), F.left("text", F.lit(40)))).alias("pos", "t"))
+    convs = _read(spark, sf, "benchmark").select("item_id", F.posexplode(shape.conversation(F.concat(F.lit("Q"), "item_id"), F.col("text"))).alias("pos", "t"))
     return convs.select("item_id", "pos", F.col("t.from").alias("who"), F.col("t.value").alias("value"))
 
 
@@ -362,15 +363,15 @@ def reject_reasons(spark, sf):
 
 
 @query(
-    f"""WITH q AS (SELECT doc_id, left(text, 60) AS question, text AS answer, CASE doc_id % 5 WHEN 0 THEN 'Numerical' WHEN 1 THEN 'true_false question' WHEN 2 THEN 'essay' WHEN 3 THEN '' ELSE 'step' END AS kind FROM documents),
+    f"""WITH q AS (SELECT doc_id, repeat('word ', doc_id % 12) AS question, text AS answer, CASE doc_id % 5 WHEN 0 THEN 'Numerical' WHEN 1 THEN 'true_false question' WHEN 2 THEN 'essay' WHEN 3 THEN '' ELSE 'step' END AS kind FROM documents),
 n AS (SELECT *, len({_sql_words('question')}) AS qw, len({_sql_words('answer')}) AS aw, lower(trim(kind)) AS k FROM q)
-SELECT doc_id, CASE WHEN kind = '' THEN 'missing field: type' WHEN k = 'essay' THEN 'invalid type: essay' WHEN qw < 8 THEN 'question too short: ' || qw || ' words (min 8)' WHEN aw < 20 THEN 'answer too short: ' || aw || ' words (min 20)'
+SELECT doc_id, CASE WHEN question = '' THEN 'missing field: question' WHEN kind = '' THEN 'missing field: type' WHEN k = 'essay' THEN 'invalid type: essay' WHEN qw < 8 THEN 'question too short: ' || qw || ' words (min 8)' WHEN aw < 20 THEN 'answer too short: ' || aw || ' words (min 20)'
   WHEN aw > 1500 THEN 'answer too long: ' || aw || ' words (max 1500)' END AS reason,
   CASE k WHEN 'numerical' THEN 'numerical' WHEN 'true_false question' THEN 'true_false' WHEN 'step' THEN 'multi_step' WHEN '' THEN 'conceptual' END AS type FROM n"""
 )
 def format_length_gates(spark, sf):
     kinds = F.array(*map(F.lit, ("Numerical", "true_false question", "essay", "", "step")))
-    qa = _docs(spark, sf).select("doc_id", F.left("text", F.lit(60)).alias("question"), F.col("text").alias("answer"), F.get(kinds, (F.col("doc_id") % 5).cast("int")).alias("kind"))
+    qa = _docs(spark, sf).select("doc_id", F.repeat(F.lit("word "), (F.col("doc_id") % 12).cast("int")).alias("question"), F.col("text").alias("answer"), F.get(kinds, (F.col("doc_id") % 5).cast("int")).alias("kind"))
     reason = F.coalesce(quality.format_reason(F.col("question"), F.col("answer"), F.col("kind")), quality.length_reason(F.col("question"), F.col("answer")))
     return qa.select("doc_id", reason.alias("reason"), quality.resolved_type(F.col("kind")).alias("type"))
 

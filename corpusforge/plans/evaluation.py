@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corpusforge.functions.arithmetic import equation_value
-from corpusforge.operators import neardup, quality, score, solutions, tasks
+from corpusforge.operators import neardup, quality, score, shape, solutions, tasks
 from corpusforge.plans.catalogue import _docs, _read, _sql_hash_normal, _sql_trim, _sql_words, _turn_sql, query
 from corpusforge.sources import policies
 
@@ -67,9 +67,15 @@ def open_task(spark, sf):
     return tasks.open_samples(_read(spark, sf, "orders").select(question.alias("question"), kind.alias("type"), gold.alias("gold")))
 
 
+_HINTS = {k: v.replace("'", "''") for k, v in shape.TYPE_HINT.items()}
+
+
 @query(
-    """SELECT s_suppkey::VARCHAR AS id, 'jee_main' AS exam, CASE WHEN s_suppkey % 3 = 0 THEN 'unknown' ELSE lower(s_name) END AS subject,
-CASE WHEN s_suppkey % 2 = 0 THEN 'numerical' ELSE 'single_correct' END AS question_type, s_nationkey::VARCHAR AS target FROM supplier"""
+    f"""SELECT s_suppkey::VARCHAR AS id, 'jee_main' AS exam, CASE WHEN s_suppkey % 3 = 0 THEN 'unknown' ELSE lower(s_name) END AS subject,
+CASE WHEN s_suppkey % 2 = 0 THEN 'numerical' ELSE 'single_correct' END AS question_type, s_nationkey::VARCHAR AS target,
+'Subject: ' || CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_name END || chr(10) || 'Question type: ' || CASE WHEN s_suppkey % 2 = 0 THEN 'numerical' ELSE 'single_correct' END || chr(10) || chr(10) || 'Question (Hindi):' || chr(10) || s_name || chr(10)
+  || CASE WHEN s_suppkey % 2 = 0 THEN '{_HINTS["numerical"]}' ELSE chr(10) || 'Options:' || chr(10) || '(A) ' || s_name || chr(10) || '{_HINTS["single_correct"]}' END
+  || chr(10) || chr(10) || 'Remember: end your response with a line of the exact form ''Final answer: <answer>''.' || chr(10) AS input FROM supplier"""
 )
 def exam_samples(spark, sf):
     none = F.lit(None).cast("string")
@@ -78,7 +84,7 @@ def exam_samples(spark, sf):
         F.when(F.col("s_suppkey") % 2 == 0, "numerical").alias("question_type"), F.col("s_name").alias("question"),
         F.array(F.struct(F.lit("A").alias("label"), F.col("s_name").alias("text"))).alias("options"), F.concat("s_nationkey", F.lit(" ")).alias("answer"), F.lit(None).cast("boolean").alias("has_diagram"),
     )
-    return tasks.exam_samples(rows, "jee_main").select("id", "metadata.exam", "metadata.subject", "metadata.question_type", "target")
+    return tasks.exam_samples(rows, "jee_main").select("id", "metadata.exam", "metadata.subject", "metadata.question_type", "target", "input")
 
 
 # Generated solutions
@@ -148,6 +154,7 @@ def distributions(spark, sf):
 
 @query(f"WITH t AS ({_turn_sql('(conv_id * 7 + turn) % 5 <> 1')}) SELECT issue, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 2)::DOUBLE AS pct, issue = 'valid' AS ok FROM t GROUP BY issue")
 def issue_breakdown(spark, sf):
+    """Of conversations that lack turns, as in ``turn_validity_broken``."""
     turns = _read(spark, sf, "conversations").filter("(conv_id * 7 + turn) % 5 <> 1")
     return quality.issue_breakdown(quality.turn_issues(turns, "conv_id", "turn", "role"))
 
