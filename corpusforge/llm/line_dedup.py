@@ -31,7 +31,7 @@ from corpusforge.llm.keys import row_key
 from corpusforge.runtime import small, table
 
 #: Edits that make a near copy, and characters from which on lines are compared by edits (others only match exactly).
-EDITS, MIN_CHARS = 1, 40
+EDITS, MIN_CHARS = 1, 20
 #: Words from which on a line with one of them replaced is a near copy, if that is asked for.
 MIN_WORDS = 8
 TILE = 64

@@ -21,8 +21,6 @@ from corpusforge.llm.keys import row_key
 from corpusforge.llm.queries import BPE_RANKS
 from corpusforge.runtime import parted, remove, scratch, shared_dir, small, table
 
-#: Characters from which on the lines of this pipeline have near copies.
-LINE_CHARS = 20
 #: Languages to keep; None for all that can be learned from labels.
 LANGUAGES: tuple[str, ...] | None = None
 #: Cosine with the best language below which a text counts as none.
@@ -63,7 +61,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts stay as they are; repeated rows (id and text) count as one, so the first
     place of a line is in all of them; see :func:`corpusforge.llm.line_dedup.line_dedup`.
     """
-    kept = line_dedup.line_dedup(docs, min_chars=LINE_CHARS, min_words=line_dedup.MIN_WORDS).drop("line_dedup")
+    kept = line_dedup.line_dedup(docs, min_chars=line_dedup.MIN_CHARS, min_words=line_dedup.MIN_WORDS).drop("line_dedup")
     return kept.withColumn("n_chars", F.char_length("text").cast("long"))
 
 

@@ -46,7 +46,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digests(line_dedup.line_dedup(_read(spark, sf_dir, "documents")))
+    found = line_dedup.line_dedup(_read(spark, sf_dir, "documents"), min_chars=line_dedup.MIN_CHARS, min_words=line_dedup.MIN_WORDS)
+    return line_dedup.digests(found)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,10 +93,13 @@ FROM docs LEFT JOIN n_hit USING (doc_id) LEFT JOIN of_items USING (doc_id) LEFT
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM docs) WHERE trim(ls[i]) <> ''),
 uniq AS (SELECT line, min(doc_id * 1000000 + i) AS place, length(line) AS n FROM lines GROUP BY line),
-near AS (SELECT DISTINCT y.line FROM uniq x JOIN uniq y ON x.place < y.place AND x.n BETWEEN y.n - 1 AND y.n + 1 AND x.n >= 40 AND y.n >= 40
+near AS (SELECT DISTINCT y.line FROM uniq x JOIN uniq y ON x.place < y.place AND x.n BETWEEN y.n - 1 AND y.n + 1 AND x.n >= 20 AND y.n >= 20
   WHERE (left(x.line, (least(x.n, y.n) // 2)::INT) = left(y.line, (least(x.n, y.n) // 2)::INT) OR right(x.line, (least(x.n, y.n) // 2)::INT) = right(y.line, (least(x.n, y.n) // 2)::INT))
     AND levenshtein(x.line, y.line) <= 1),
-marked AS (SELECT doc_id, i, line, doc_id * 1000000 + i <> place AS copy, line IN (SELECT line FROM near) AS near FROM lines JOIN uniq USING (line)),
+wordy AS (SELECT place, line, string_split(line, ' ') AS w FROM uniq WHERE n >= 20 AND len(string_split(line, ' ')) >= 8),
+without AS (SELECT line, place, k, w[1:k - 1] AS before, w[k + 1:len(w)] AS after FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM wordy)),
+replaced AS (SELECT DISTINCT line FROM (SELECT line FROM without QUALIFY place > min(place) OVER (PARTITION BY k, before, after))),
+marked AS (SELECT doc_id, i, line, doc_id * 1000000 + i <> place AS copy, line IN (SELECT line FROM near) OR line IN (SELECT line FROM replaced) AS near FROM lines JOIN uniq USING (line)),
 out AS (SELECT doc_id, list(i) FILTER (copy OR near) AS gone, count(*) FILTER (copy) AS n_exact, count(*) FILTER (near AND NOT copy) AS n_near FROM marked GROUP BY doc_id)
 SELECT doc_id, len(ls)::BIGINT AS n_lines, coalesce(n_exact, 0)::BIGINT AS n_exact, coalesce(n_near, 0)::BIGINT AS n_near,
   (len(ls) - coalesce(n_exact, 0) - coalesce(n_near, 0))::BIGINT AS n_kept,

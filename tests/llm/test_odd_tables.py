@@ -107,7 +107,7 @@ def test_lines(docs):
     assert len(rows) == docs.count() and all(r["x"] == "clash" for r in rows)
     # Nulls come first, so what a null id has is first; of the others the smaller id.
     order = [t for i, t in enumerate(TEXTS) if i in (2, 4)] + [t for i, t in enumerate(TEXTS) if i not in (2, 4)]
-    left = dict(zip(order[2:], (x for x, _, _ in brute.without_lines(order, 1, 40)[2:]), strict=True))
+    left = dict(zip(order[2:], (x for x, _, _ in brute.without_lines(order, 1, line_dedup.MIN_CHARS)[2:]), strict=True))
     for r in rows:
         if r["doc_id"] is not None:
             assert r["text"] == left[TEXTS[r["doc_id"]]]

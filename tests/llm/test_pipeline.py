@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline
-from corpusforge.llm import pipeline
+from corpusforge.llm import line_dedup, pipeline
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, text2 string, r1 long, first boolean, `component_id` string"
@@ -71,7 +71,7 @@ def test_stages_against_brute_force(spark, tmp_path):
 
     hashes = {(r["doc_id"], r["text"]): (r["r1"], r["r2"]) for r in spark.createDataFrame(got, docs.schema).select("doc_id", "text", *row_key(F.col("doc_id"), F.col("text"))).collect()}
     order = sorted({(r["doc_id"] is not None, r["doc_id"] or 0, *hashes[r["doc_id"], r["text"]], r["text"]) for r in got})
-    left = brute.without_lines([o[-1] for o in order], 1, pipeline.LINE_CHARS, 8)
+    left = brute.without_lines([o[-1] for o in order], 1, line_dedup.MIN_CHARS, 8)
     texts = {o[-3:-1]: x[0] for o, x in zip(order, left, strict=True)}
     lined = stage("line_dedup", got)
     assert sorted(key(r) for r in lined) == sorted((r["doc_id"] is None, r["doc_id"] or 0, True, texts[hashes[r["doc_id"], r["text"]]]) for r in got)
