@@ -141,12 +141,17 @@ def cuts(length: Column, edits: int) -> tuple[list[Cut], list[Cut]]:
     return index, probes
 
 
+def n_words(line: Column) -> Column:
+    """Words between single blanks."""
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
 def halves(line: Column, *above: Column) -> list[tuple[Column, Column]]:
     """(hash, other words) of each half of a line's words: of two lines that differ in one word, one hash is equal."""
-    words = F.split(line, " ")
-    half = F.floor(F.size(words) / 2).cast("int")
-    first, second = F.slice(words, F.lit(1), half), F.slice(words, half + 1, F.size(words) - half)
-    return [(F.xxhash64(*above, F.lit(f"words {i}"), F.size(words), own), F.array_join(other, " ")) for i, (own, other) in enumerate(((first, second), (second, first)))]
+    n = n_words(line)
+    half = F.floor(n / 2).cast("int")
+    first, second = (F.call_function("substring_index", line, F.lit(" "), count) for count in (half, half - n))
+    return [(F.xxhash64(*above, F.lit(f"words {i}"), n, own), other) for i, (own, other) in enumerate(((first, second), (second, first)))]
 
 
 def one_word_replaced(left: Column, right: Column) -> Column:
@@ -165,7 +170,7 @@ def _hot_pairs(held: DataFrame, edits: int, tile: int) -> DataFrame:
     lines that are indexed from those that probe.
     """
     pairs = []
-    length = F.when(F.col("words"), F.size(F.split("r", " "))).otherwise(F.char_length("r"))
+    length = F.when(F.col("words"), n_words(F.col("r"))).otherwise(F.char_length("r"))
     while True:
         lists = table(held.filter("index").groupBy("k", "words").agg(F.count("*").alias("n"), F.max(length).alias("left")), "segment-lists")
         done = (F.col("left") <= edits) | (F.col("words") & (F.col("left") <= 1))
@@ -200,7 +205,7 @@ def repeated_lines(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     lines = _lines(rows).withColumn("n", F.char_length("line"))
     line, long = F.col("line"), F.col("n") >= max(min_chars, edits + 1)
     index, probes = cuts(F.col("n"), edits)
-    wordy = F.size(F.split("line", " ")) >= F.lit(min_words)
+    wordy = n_words(line) >= F.lit(min_words)
     by_words = [] if min_words is None else [F.when(wordy, k) for k, _ in halves(line)]
     keys = [c.key(line) for c in index] + by_words + [c.key(line) for c in probes]
     rests = [c.rest(line) for c in index] + [r for _, r in halves(line)[: len(by_words)]] + [c.rest(line) for c in probes]
