@@ -172,23 +172,23 @@ def _hot_pairs(held: DataFrame, edits: int, tile: int) -> DataFrame:
     pairs = []
     length = F.when(F.col("words"), n_words(F.col("r"))).otherwise(F.char_length("r"))
     while True:
-        lists = table(held.filter("index").groupBy("k", "words").agg(F.count("*").alias("n"), F.max(length).alias("left")), "segment-lists")
         done = (F.col("left") <= edits) | (F.col("words") & (F.col("left") <= 1))
-        of = lambda which: held.join(small(table(lists.filter(which).select("k"), "lists")), "k", "left_semi")  # noqa: E731, B023
-        short, ended = of(F.col("n") <= tile), of((F.col("n") > tile) & done)
+        lists = held.filter("index").groupBy("k", "words").agg(F.count("*").alias("n"), F.max(length).alias("left"))
+        lists = table(lists.select("k", F.when(F.col("n") <= tile, "short").when(done, "ended").otherwise("more").alias("what")), "segment-lists")
+        told = held.join(small(lists), "k")
+        short, ended, more = (told.filter(F.col("what") == what) for what in ("short", "ended", "more"))
 
         meet = short.filter("index").select("k", F.col("id").alias("a")).join(short.filter("not index").select("k", F.col("id").alias("b")), "k").filter("a <> b")
-        pairs.append(table(meet.select("a", "b").distinct(), "line-pairs"))
+        pairs.append(meet.select("a", "b"))
 
         # Lines of one length that agree on all but so little are all close to the first of them.
         here, probing = ended.filter("index"), ended.filter("not index")
-        first = table(here.groupBy("k").agg(F.min(F.struct("place", "id")).alias("f")).select("k", F.col("f.id").alias("b")), "first-lines")
-        pairs.append(here.select("k", F.col("id").alias("a")).join(small(first), "k").select("a", "b").filter("a <> b").distinct())
+        first = here.groupBy("k").agg(F.min(F.struct("place", "id")).alias("f")).select("k", F.col("f.id").alias("b"))
+        pairs.append(here.select("k", F.col("id").alias("a")).join(first, "k").select("a", "b").filter("a <> b"))
         others = probing.join(here.select("k", "id"), ["k", "id"], "left_anti").select("k", F.col("id").alias("b"), F.col("r").alias("ry"))
         near = here.select("k", F.col("id").alias("a"), F.col("r").alias("rx")).join(others, "k").filter(F.levenshtein("rx", "ry", edits) >= 0)
-        pairs.append(table(near.select("a", "b").distinct(), "line-pairs"))
+        pairs.append(near.select("a", "b"))
 
-        more = of((F.col("n") > tile) & ~done)
         r, k = F.col("r"), F.col("k")
         index, probes = cuts(F.char_length("r"), edits)
         child = lambda key, rest: F.struct(key.alias("k"), rest.alias("r"))
