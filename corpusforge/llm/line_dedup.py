@@ -36,6 +36,8 @@ EDITS, MIN_CHARS = 1, 20
 MIN_WORDS = 8
 TILE = 64
 _DOC = ["r1", "r2"]
+#: Of two lines that are both indexed under a key, the pair is made once.
+_ONCE = "(own and a < b) or (not own and a <> b)"
 
 
 def edit_distance(left: Column, right: Column, edits: int) -> Column:
@@ -167,7 +169,7 @@ def _hot_pairs(held: DataFrame, edits: int, tile: int) -> DataFrame:
     """``(a, b)`` of lines that may be close, from long lists: (k, id, place, words, index, r).
 
     ``r`` is what remains of a line without what all lines of the list share; ``index`` tells the
-    lines that are indexed from those that probe.
+    lines that are indexed, and probe too, from those that only probe.
     """
     pairs = []
     length = F.when(F.col("words"), n_words(F.col("r"))).otherwise(F.char_length("r"))
@@ -178,8 +180,8 @@ def _hot_pairs(held: DataFrame, edits: int, tile: int) -> DataFrame:
         told = held.join(small(lists), "k")
         short, ended, more = (told.filter(F.col("what") == what) for what in ("short", "ended", "more"))
 
-        meet = short.filter("index").select("k", F.col("id").alias("a")).join(short.filter("not index").select("k", F.col("id").alias("b")), "k").filter("a <> b")
-        pairs.append(meet.select("a", "b"))
+        meet = short.filter("index").select("k", F.col("id").alias("a")).join(short.select("k", F.col("id").alias("b"), F.col("index").alias("own")), "k")
+        pairs.append(meet.filter(_ONCE).select("a", "b"))
 
         # Lines of one length that agree on all but so little are all close to the first of them.
         here, probing = ended.filter("index"), ended.filter("not index")
@@ -191,10 +193,10 @@ def _hot_pairs(held: DataFrame, edits: int, tile: int) -> DataFrame:
 
         r, k = F.col("r"), F.col("k")
         index, probes = cuts(F.char_length("r"), edits)
-        child = lambda key, rest: F.struct(key.alias("k"), rest.alias("r"))
-        own, further = ([child(c.key(r, k), c.rest(r)) for c in part] for part in (index, probes))
-        children = F.when(F.col("words"), F.array(*[child(*h) for h in halves(r, k)])).when(F.col("index"), F.array(*own)).otherwise(F.array(*own, *further))
-        held = more.select("id", "place", "words", "index", F.explode(children).alias("c")).select("c.k", "id", "place", "words", "index", "c.r").filter("k is not null")
+        child = lambda key, rest, own: F.struct(key.alias("k"), rest.alias("r"), own.alias("index"))
+        own, further = ([child(c.key(r, k), c.rest(r), kind) for c in part] for part, kind in ((index, F.col("index")), (probes, F.lit(False))))
+        children = F.when(F.col("words"), F.array(*[child(*h, F.col("index")) for h in halves(r, k)])).otherwise(F.array(*own, *further))
+        held = more.select("id", "place", "words", F.explode(children).alias("c")).select("c.k", "id", "place", "words", "c.index", "c.r").filter("k is not null")
         held = table(held.distinct(), "segments")
         if held.isEmpty():
             return reduce(DataFrame.union, pairs)
@@ -219,8 +221,9 @@ def repeated_lines(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
 
     indexed, probing = listed(names[:n_index]), listed(names)
     hot = table(indexed.groupBy("k").agg(F.count_distinct("id").alias("n")).filter(F.col("n") > tile).select("k"), "hot-segments")
-    cold_index, cold_probing = (x.join(small(hot), "k", "left_anti").select("id", "k").distinct() for x in (indexed, probing))
-    meet = cold_index.select("k", F.col("id").alias("a")).join(cold_probing.select("k", F.col("id").alias("b")), "k").filter("a <> b")
+    own = (F.col("j") < n_index).alias("own")
+    cold_index, cold_probing = (x.join(small(hot), "k", "left_anti").select("id", "k", own).distinct() for x in (indexed, probing))
+    meet = cold_index.select("k", F.col("id").alias("a")).join(cold_probing.select("k", F.col("id").alias("b"), "own"), "k").filter(_ONCE)
     pair = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     cold = table(pair(meet), "line-pairs")
     in_hot = table(probing.join(small(hot), "k", "left_semi"), "lines-of-hot-segments")
@@ -233,9 +236,7 @@ def repeated_lines(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     if not in_hot.isEmpty():
         rest = F.coalesce(*[F.when(F.col("j") == x, r) for x, r in enumerate(rests)])
         of_words = F.col("j").between(len(index), n_index - 1)
-        held = in_hot.join(texts, "id").withColumn("n", F.char_length("line")).select("k", "id", "place", of_words.alias("words"), rest.alias("r"), "j")
-        probed = held.select("k", "id", "place", "words", F.lit(False).alias("index"), "r")
-        held = probed.union(held.filter(F.col("j") < n_index).select("k", "id", "place", "words", F.lit(True).alias("index"), "r"))
+        held = in_hot.join(texts, "id").withColumn("n", F.char_length("line")).select("k", "id", "place", of_words.alias("words"), (F.col("j") < n_index).alias("index"), rest.alias("r"))
         pairs = table(pair(cold.union(_hot_pairs(table(held.distinct(), "segments"), edits, tile))), "line-pairs")
 
     side = lambda s: texts.select(F.col("id").alias(s), F.col("place").alias(f"place_{s}"), F.col("line").alias(f"line_{s}"))
