@@ -98,9 +98,9 @@ def _boxed(t: pd.Series) -> pd.Series:
 _boxed_udf = F.pandas_udf(_boxed, ArrayType(StringType()))
 
 
-def boxed(solution: str) -> Column:
-    """Contents of the balanced boxes of a column. A text without any has none, which the JVM sees; it goes to Python as null."""
-    t = F.col(solution)
+def boxed(solution: Column | str) -> Column:
+    """Contents of the balanced boxes of a text. A text without any has none, which the JVM sees; it goes to Python as null."""
+    t = F.col(solution) if isinstance(solution, str) else solution
     return F.coalesce(_boxed_udf(F.when(t.contains("\\boxed{"), t)), F.array().cast("array<string>"))
 
 
