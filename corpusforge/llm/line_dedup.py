@@ -222,7 +222,7 @@ def repeated_lines(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     indexed, probing = listed(names[:n_index]), listed(names)
     hot = table(indexed.groupBy("k").agg(F.count_distinct("id").alias("n")).filter(F.col("n") > tile).select("k"), "hot-segments")
     own = (F.col("j") < n_index).alias("own")
-    cold_index, cold_probing = (x.join(small(hot), "k", "left_anti").select("id", "k", own).distinct() for x in (indexed, probing))
+    cold_index, cold_probing = (x.join(small(hot), "k", "left_anti").select("id", "k", own) for x in (indexed, probing))  # repeated keys of a line only repeat pairs
     meet = cold_index.select("k", F.col("id").alias("a")).join(cold_probing.select("k", F.col("id").alias("b"), "own"), "k").filter(_ONCE)
     pair = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     cold = table(pair(meet), "line-pairs")
