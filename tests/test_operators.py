@@ -186,3 +186,22 @@ def test_planes_grow_with_rows():
     for n in (10, 10**4, 10**9):
         bits, tables = dedup.hyperplane_tables(0.85, n)
         assert 1 - (1 - (1 - math.acos(0.85) / math.pi) ** bits) ** tables >= 0.99
+
+
+def test_set_similarity_verifies_few_pairs_and_writes_no_ranked_tokens(spark, monkeypatch):
+    written = {}
+
+    def counted(df, label, *codec):
+        written[label] = table(df, label, *codec)
+        return written[label]
+
+    table = dedup.table
+    monkeypatch.setattr(dedup, "table", counted)
+    r = random.Random(5)
+    common = [f"common{i}" for i in range(40)]
+    sets = [(i, r.sample(common, 20) + [f"w{i}-{x}" for x in range(20)]) for i in range(0, 200, 2)]
+    sets += [(i + 1, t[:-2] + ["other"]) for i, t in sets]
+    classes = spark.createDataFrame(sets, "class_id long, tokens array<string>")
+    found = {(x["i"], x["j"]) for x in dedup.set_similarity_pairs(classes, 0.6).collect()}
+    assert found == {(i, i + 1) for i in range(0, 200, 2)}
+    assert "ranked-tokens" not in written and written["set-pairs"].count() < 2 * len(found)
