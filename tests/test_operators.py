@@ -205,3 +205,17 @@ def test_set_similarity_verifies_few_pairs_and_writes_no_ranked_tokens(spark, mo
     found = {(x["i"], x["j"]) for x in dedup.set_similarity_pairs(classes, 0.6).collect()}
     assert found == {(i, i + 1) for i in range(0, 200, 2)}
     assert "ranked-tokens" not in written and written["set-pairs"].count() < 2 * len(found)
+
+
+def test_units_end_before_letters_beyond_ascii(spark):
+    import duckdb
+
+    from corpusforge.operators import score
+
+    texts = ["EINÄ", "EIN_", "EINA", "EIN", "V²", "W\u0301", "molé", "moles", "o\u017fmo\u017fi\u017f mito\u017fi\u017f", "N1"]
+    rows = [(t, name) for t in texts for name, *_ in score.SUBJECT_TERMS]
+    got = spark.createDataFrame(rows, "t string, s string").select("t", "s", score.subject_reward(F.col("t"), F.col("s")).alias("r")).collect()
+    terms = {name: pair for name, *pair in score.SUBJECT_TERMS}
+    con = duckdb.connect()
+    want = {(t, s): round(sum(0.1 for p in terms[s] if con.execute("select regexp_matches(?, ?)", [t, p]).fetchone()[0]), 4) for t, s in rows}
+    assert {(r["t"], r["s"]): r["r"] for r in got} == want
