@@ -34,7 +34,7 @@ from corpusforge.runtime import small, table
 EDITS, MIN_CHARS = 1, 20
 #: Words from which on a line with one of them replaced is a near copy, if that is asked for.
 MIN_WORDS = 8
-TILE = 64
+TILE = 32
 _DOC = ["r1", "r2"]
 #: Of two lines that are both indexed under a key, the pair is made once.
 _ONCE = "(own and a < b) or (not own and a <> b)"
