@@ -19,8 +19,10 @@ from corpusforge.sources.files import resolve
 @dataclass(frozen=True)
 class NearDupConfig:
     """Thresholds of the gates. ``folder``: where gates are kept for a run that resumes, else nowhere;
-    its rows and ``name`` tell its input from others there; ``fresh`` runs all gates again. ``all_pairs``: multiply all
-    first embeddings with all, by blocks, instead of those that random planes bring together (99 % of pairs at the threshold)."""
+    its rows and ``name`` tell its input from others there; ``fresh`` runs all gates again. A pair has to pass the first
+    embedding and the word sets; it is looked for by word sets (exact), and only rows of such pairs are embedded. If
+    no shared word is asked for (a threshold of 0), by random planes of all embeddings (99 % of pairs at the threshold).
+    ``all_pairs``: multiply all first embeddings with all, by blocks."""
 
     semantic: float = 0.85
     confirmed: float = 0.60
@@ -73,15 +75,28 @@ def near_duplicates(df: DataFrame, id_col: str, question: str, answer: str, firs
     exact = _gate(dedup.star_pairs(rows, key, "id"), "gate-1", config, given)
     single = rows.join(exact.select(F.col("j").alias("id")), "id", "left_anti")
 
-    embedded = _gate(embed(single, "id", "q", first), "vectors", config, given)  # a table, since it is read more than once
-    find = dedup.cosine_pairs if config.all_pairs else dedup.cosine_pairs_by_planes
-    found = find(embedded, "id", "embedding", config.semantic, across_only=config.across_only)
-    close = _gate(found, "gate-2", config, given)
-
-    of = lambda s: rows.select(F.col("id").alias(s), F.array_distinct(words(F.lower("q"))).alias(f"w{s}"))
-    a, b = F.col("wi"), F.col("wj")
-    both_empty = (F.size(a) == 0) & (F.size(b) == 0)
-    shared = close.select("i", "j").join(of("i"), "i").join(of("j"), "j").select("i", "j", F.when(both_empty, 1.0).otherwise(jaccard(a, b)).alias("sim"))
+    least = min(config.confirmed, config.borderline)
+    word_set = F.array_distinct(words(F.lower("q")))
+    if config.all_pairs or least <= 0:
+        embedded = _gate(embed(single, "id", "q", first), "vectors", config, given)  # a table, since it is read more than once
+        find = dedup.cosine_pairs if config.all_pairs else dedup.cosine_pairs_by_planes
+        found = find(embedded, "id", "embedding", config.semantic, across_only=config.across_only)
+        close = _gate(found, "gate-2", config, given)
+        of = lambda s: rows.select(F.col("id").alias(s), word_set.alias(f"w{s}"))
+        a, b = F.col("wi"), F.col("wj")
+        both_empty = (F.size(a) == 0) & (F.size(b) == 0)
+        shared = close.select("i", "j").join(of("i"), "i").join(of("j"), "j").select("i", "j", F.when(both_empty, 1.0).otherwise(jaccard(a, b)).alias("sim"))
+    else:
+        # Rows without a word are one class, so that no two of them are left to be compared.
+        sets = table(single.select(F.col("id").alias("class_id"), word_set.alias("tokens")), "word-sets", "zstd")
+        alike = _gate(dedup.set_similarity_pairs(sets, least), "word-pairs", config, given)
+        if config.across_only:
+            alike = alike.filter(F.floor(F.col("i") / config.across_only) != F.floor(F.col("j") / config.across_only))
+        ids = alike.select(F.explode(F.array("i", "j")).alias("id")).distinct()
+        embedded = _gate(embed(rows.join(ids, "id", "left_semi"), "id", "q", first), "vectors", config, given)
+        found = dedup.cosines(embedded, alike, "id", "embedding").filter(F.col("sim") >= config.semantic - 1e-12)
+        close = _gate(found, "gate-2", config, given)
+        shared = alike.join(close.select("i", "j"), ["i", "j"], "left_semi")
     tiers = _gate(dedup.tiers(shared, config.confirmed, config.borderline), "gate-3", config, given)
     gates = [
         exact.withColumn("label", F.lit(dedup.CONFIDENCE[0])),
@@ -92,10 +107,8 @@ def near_duplicates(df: DataFrame, id_col: str, question: str, answer: str, firs
         between = tiers.filter("tier = 'borderline'").select("i", "j")
         ids = between.select(F.explode(F.array("i", "j")).alias("id")).distinct()
         again = _gate(embed(rows.join(ids, "id"), "id", "q", second, batch=16), "second-vectors", config, given)
-        vectors = again.select("id", dedup.unit(F.col("embedding")).alias("v"))
-        pair = between.join(vectors.select(F.col("id").alias("i"), F.col("v").alias("x")), "i").join(vectors.select(F.col("id").alias("j"), F.col("v").alias("y")), "j")
-        cosine = F.aggregate(F.zip_with("x", "y", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        gates.append(_gate(pair.filter(cosine >= config.second).select("i", "j", F.lit(dedup.CONFIDENCE[1]).alias("label")), "gate-4", config, given))
+        passed = dedup.cosines(again, between, "id", "embedding").filter(F.col("sim") >= config.second)
+        gates.append(_gate(passed.select("i", "j", F.lit(dedup.CONFIDENCE[1]).alias("label")), "gate-4", config, given))
 
     pairs = table(dedup.label_pairs(*gates), "near-pairs")
     members = table(dedup.groups(pairs), "near-members")

@@ -187,3 +187,22 @@ def test_near_duplicate_gates(spark, tmp_path):
     assert {r.group_id for r in again.groups.collect()} == set(wanted)
     nothing = neardup.near_duplicates(df.limit(0), "k", "t", "t", word_embedder, word_embedder)
     assert nothing.groups.count() == 0 and tuple(nothing.summary.first()) == (0, 0, 0, 0.0)
+
+
+def test_only_rows_alike_by_words_are_embedded(spark):
+    base = [" ".join(f"w{(k * 7 + j) % 50}" for j in range(12)) for k in range(6)]
+    texts = [*base, base[0].upper(), base[0] + " x", base[1] + " y z", base[2] + " p q r s t u", None, "", base[4] + "\n" + base[4], base[5] + " " + " ".join(f"n{i}" for i in range(8)), "nothing like this"]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "k LONG, t STRING")
+
+    def embedder():
+        def call(batch):
+            if any(t is None or "nothing" in t for t in batch):
+                raise AssertionError("a row without a partner was embedded")
+            return word_embedder()(batch)
+
+        return call
+
+    c = neardup.NearDupConfig(semantic=0.6, second=0.7)
+    found = neardup.near_duplicates(df, "k", "t", "t", embedder, lambda: word_embedder(512, 1), c)
+    assert {r.group_id: (r.keep, r["size"], r.confidence) for r in found.groups.collect()} == _gates_by_hand(rows, c)

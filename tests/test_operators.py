@@ -219,3 +219,46 @@ def test_units_end_before_letters_beyond_ascii(spark):
     con = duckdb.connect()
     want = {(t, s): round(sum(0.1 for p in terms[s] if con.execute("select regexp_matches(?, ?)", [t, p]).fetchone()[0]), 4) for t, s in rows}
     assert {(r["t"], r["s"]): r["r"] for r in got} == want
+
+
+def _alike(sets, threshold, contained):
+    sim = lambda x, y: (len(x & y) / len(x | y), len(x & y) / min(len(x), len(y)))
+    pairs = [(i, j) for i in sets for j in sets if i < j and sets[i] and sets[j]]
+    return {(i, j) for i, j in pairs if sim(sets[i], sets[j])[0] >= threshold or sim(sets[i], sets[j])[1] >= contained}
+
+
+@pytest.mark.parametrize("grams", [1, 3])
+def test_sets_are_joined_in_parts_and_sent_to_few_places(spark, monkeypatch, grams):
+    """Of near copies, each set is sent to a few places and not for each pair; runs of tokens aren't written."""
+    written = {}
+
+    def kept(df, label, *codec):
+        written.setdefault(label, []).append(table(df, label, *codec))
+        return written[label][-1]
+
+    table = dedup.table
+    monkeypatch.setattr(dedup, "table", kept)
+    monkeypatch.setattr(dedup, "MET_ROWS", 12_000)
+    monkeypatch.setattr(dedup, "TOKENS_AT_ONCE", 2_000)
+    r = random.Random(7)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(40):  # near copies
+        w = list(base)
+        w[r.randrange(60)] = f"own{i}"
+        rows.append(w)
+    for i in range(40):
+        w = [f"{r.choice('abc')}{r.randrange(400)}" for _ in range(r.randint(1, 90))]
+        rows += [w, w[r.randrange(3) : len(w) - r.randrange(3)], w[len(w) // 2 :]]
+    rows += [["one"], ["one", "two"], ["b3", "b4"], []]
+    sets = {i: dedup.runs(w, grams) for i, w in enumerate(rows)}
+    classes = spark.createDataFrame([(i, list(dict.fromkeys(w)) if grams == 1 else w) for i, w in enumerate(rows)], "class_id long, tokens array<string>")
+    got = [(x["i"], x["j"]) for x in dedup.set_similarity_pairs(classes, 0.8, grams=grams, contained=0.9).collect()]
+    wanted = _alike(sets, 0.8, 0.9)
+    assert len(got) == len(set(got)) and set(got) == wanted and len(wanted) > 700
+    assert len(written["set-pairs"]) > 1
+    assert written["larger-sets"][-1].count() + written["partners"][-1].count() < len(wanted) / 2
+    if grams == 1:
+        for measure, t in (("jaccard", 0.5), ("containment", 0.9)):
+            got = {(x["i"], x["j"]) for x in dedup.set_similarity_pairs(classes, t, measure).collect()}
+            assert got == _alike(sets, t if measure == "jaccard" else 2, t if measure == "containment" else 2)
